@@ -24,7 +24,7 @@ from .recipe import Chain, FittedRecipe, Step, compile_chain, fit_recipe, fit_st
 EIGEN_FLOOR = 1e-12
 
 
-def _decompose(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decompose(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Descending eigenpairs; each vector's largest-magnitude entry is made positive."""
     values, vectors = np.linalg.eigh(scatter)
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
@@ -112,7 +112,7 @@ class PcaModel:
 
 def model_from_moments(recipe: FittedRecipe, moments: Moments, components: int) -> PcaModel:
     n = int(round(moments.n))
-    values, vectors = _decompose(moments.scatter())
+    values, vectors = decompose(moments.scatter())
     count = max(1, min(int(components), n - 1, len(recipe.axis)))
     rank = min(n - 1, len(recipe.axis))
     return PcaModel(
@@ -144,9 +144,10 @@ def fit_pca(
 class FoldMoments:
     train: Moments
     test: Moments
+    shared: bool = False  # all folds live in the same processed space
 
 
-def _center_is_last(steps: Sequence[Step]) -> bool:
+def center_is_last(steps: Sequence[Step]) -> bool:
     fitted = [s for s in steps if s.enabled and s.name in ("Mean center", "Autoscale", "Robust scale")]
     if not fitted:
         return True
@@ -168,7 +169,7 @@ def fold_moments(
     scan, and each training set is the total minus its fold.  Otherwise imputation and
     scaling are refitted on every training set, one scan per fold.
     """
-    shared = profile.incomplete == 0 and all(_center_is_last(r) for r in recipes)
+    shared = profile.incomplete == 0 and all(center_is_last(r) for r in recipes)
     if shared:
         chains = [stateless(assigned.axis, r) for r in recipes]
         pivots = [c.apply(profile.reference[None, :])[0] for c in chains]
@@ -179,7 +180,7 @@ def fold_moments(
             whole = by_fold[0]
             for m in by_fold[1:]:
                 whole = whole + m
-            out.append([FoldMoments(whole - m, m) for m in by_fold])
+            out.append([FoldMoments(whole - m, m, True) for m in by_fold])
         return out
     per_fold = []
     for f in range(folds):
@@ -199,7 +200,7 @@ def _fold_curve(fold: FoldMoments, nmax: int) -> dict[str, np.ndarray]:
     """Calibration MSE, held-out MSE, PRESS for k = 1..nmax and the fold's TSS."""
     train, test = fold.train, fold.test
     width = len(train.total)
-    values, vectors = _decompose(train.scatter())
+    values, vectors = decompose(train.scatter())
     held_out = test.scatter(train.mean)
     limit = min(nmax, int(round(train.n)) - 1, width)
     captured = np.einsum("ij,ik,kj->j", vectors[:, :limit], held_out, vectors[:, :limit])
@@ -227,7 +228,7 @@ def cv_table(
         raise ValueError("Cross-validation folds are too small to fit PCA.")
     curves = [_fold_curve(f, nmax) for f in folds]
     stack = {k: np.array([c[k] for c in curves]) for k in curves[0]}
-    whole = _decompose((folds[0].train + folds[0].test).scatter())[0] if _same_space(folds) else None
+    whole = decompose((folds[0].train + folds[0].test).scatter())[0] if folds[0].shared else None
     explained = whole[:nmax] / whole.sum() if whole is not None and whole.sum() > 0 else np.full(nmax, np.nan)
     press, tss = stack["press"].sum(axis=0), stack["tss"].sum(axis=0)
     sd = stack["val"].std(axis=0, ddof=1) if len(folds) > 1 else np.zeros(nmax)
@@ -263,10 +264,6 @@ def cv_table(
     return frame, best
 
 
-def _same_space(folds: Sequence[FoldMoments]) -> bool:
-    return all(np.array_equal(f.train.pivot, folds[0].train.pivot) for f in folds)
-
-
 def assign_folds(
     spectra: Spectra, folds: int, n: int, group: str | None = None, seed: int = 42
 ) -> tuple[Spectra, int, str]:
