@@ -73,11 +73,12 @@ class Tile:
         if not self.same:
             yield self.right, self.left
 
-    def distances(self, rows: np.ndarray, others: np.ndarray):
+    def distances(self, rows: np.ndarray, others: np.ndarray, span: tuple[int, int] | None = None):
         """Yield ``(row slice, distances)`` in strips so memory stays bounded."""
+        x = self.x if span is None else self.x[:, span[0] : span[1]]
         for at in range(0, len(rows), SUB_ROWS):
             part = rows[at : at + SUB_ROWS]
-            yield part, np.sqrt(squared(self.x[part], self.x[others]))
+            yield part, np.sqrt(squared(x[part], x[others]))
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -22,13 +22,15 @@ from ..operators import (
     ranks,
     recipe,
     regions,
+    stability,
 )
 from ..operators.moments import accumulate
 from ..operators.pca import assign_folds, contributions, diagnostics, fit_pca, fold_moments, pca_cv, stateless
 from ..operators.plsda import fit_plsda, indicator
 from ..operators.quantiles import exact_quantiles
 from ..operators.recipe import Step
-from ..session import ensure_checkpoint_dir
+from ..operators.ward import ward
+from ..session import durable, ensure_checkpoint_dir
 from ..sources.sinks import write_spectra
 from ..sources.spectra_csv import load_csv
 from ..sources.tables import (
@@ -40,6 +42,8 @@ from ..sources.tables import (
     table,
 )
 from ..spectra import ID, Y, Spectra
+from ..streaming import scoring
+from . import audit, guided, nested, selection
 
 EXCLUSION = "500-800,700-1000; 1550-1600"
 ORDER_COLUMNS = ["o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name", "r_name"]
@@ -526,6 +530,125 @@ def plsda_one_component(spark, folder):
     return rounded(out, "decision_high")
 
 
+# ---------------------------------------------------------------- whole analyses
+
+
+def _plane(spark, folder, components: int = 3):
+    """Leading scores of the default exploratory recipe, materialised once."""
+    s = embedding_spectra(spark, folder)
+    model = fit_pca(s, BASIC, components)
+    return s, model, durable(model.scores(s))
+
+
+def pca_recipe_compare(spark, folder):
+    _, summary, _ = selection.compare_recipes(embedding_spectra(spark, folder))
+    return spark.createDataFrame(summary)
+
+
+def choose_recommendation(spark, folder):
+    _, _, decision = selection.compare_recipes(embedding_spectra(spark, folder))
+    rows = [(k, str(v)) for k, v in decision.items() if k != "rules"]
+    return spark.createDataFrame(rows + [("rule", r) for r in decision["rules"]], "key string, value string")
+
+
+def ward_linkage(spark, folder):
+    _, model, scores = _plane(spark, folder)
+    return ward(scores, "scores", model.n).linkage()
+
+
+def ward_cut(spark, folder):
+    _, model, scores = _plane(spark, folder)
+    cut = ward(scores, "scores", model.n).labels([2, 3, 4])
+    return cut.select(ID, F.posexplode("labels").alias("at", "cluster")).select(ID, (F.col("at") + 2).alias("k"), "cluster")
+
+
+def kmeans_history(spark, folder):
+    _, _, scores = _plane(spark, folder)
+    frames = kmeans.history(scores, "scores", 3)
+    rows = [
+        (f["iteration"], c, d, float(v))
+        for f in frames
+        for c, center in enumerate(f["centers"])
+        for d, v in enumerate(center)
+    ]
+    return spark.createDataFrame(rows, "iteration int, cluster int, dim int, center double")
+
+
+def kmeans_cluster(spark, folder):
+    _, model, scores = _plane(spark, folder)
+    return clustering.cluster(scores, "scores", "KMeans", model.n, k=3)[0]
+
+
+def cluster_benchmark(spark, folder):
+    _, model, scores = _plane(spark, folder)
+    return spark.createDataFrame(clustering.analyze(scores, "scores", model.n).table)
+
+
+def cluster_stability(spark, folder):
+    _, model, scores = _plane(spark, folder)
+    base = clustering.analyze(scores, "scores", model.n)
+    return spark.createDataFrame(clustering.cluster_stability(scores, "scores", 3, base, model.n).table)
+
+
+def preprocessing_stability(spark, folder):
+    s = embedding_spectra(spark, folder)
+    entries, _, _ = selection.compare_recipes(s)
+    return spark.createDataFrame(stability.preprocessing_stability(s, entries, entries[0]["model"].n).table)
+
+
+def resampling_stability(spark, folder):
+    s = embedding_spectra(spark, folder)
+    facts = s.profile()
+    found, _ = stability.resampling_stability(s, BASIC, fit_pca(s, BASIC, 5, facts), facts)
+    return spark.createDataFrame(found.table)
+
+
+def spectral_qc_summary(spark, folder):
+    s = embedding_spectra(spark, folder)
+    result = audit.spectral_qc(s, metadata.infer_schema(s.df, s.meta))
+    return spark.createDataFrame([(result.flagged_share, result.summary)], "flagged_share double, summary string")
+
+
+def guided_health(spark, folder):
+    """The complete guided analysis with its audit; the health subscores are its summary."""
+    result = guided.guided_analysis(embedding_spectra(spark, folder), EXCLUSION)
+    return spark.createDataFrame(result.audit.health["subscores"])
+
+
+def _two_class(spark, folder) -> Spectra:
+    s = embedding_spectra(spark, folder)
+    half = F.when(F.col("class_label").cast("int") < 5, "low").otherwise("high")
+    return Spectra(s.df.withColumn("half", half), s.axis)
+
+
+def nested_audit(spark, folder):
+    s = _two_class(spark, folder)
+    result = nested.nested_audit(s, "half", metadata.group_key(s.df, ["site", "batch"]), trials=3, outer_folds=2)
+    return result.family_oof
+
+
+def permutation_null(spark, folder):
+    s = _two_class(spark, folder)
+    group = metadata.group_key(s.df, ["site", "batch"])
+    test = nested.permutation_test(s, "half", 0.5, permutations=2, trials=1, group=group, outer_folds=2)
+    rows = [(i, float(v), test.p_value) for i, v in enumerate(test.scores)]
+    return spark.createDataFrame(rows, "permutation int, balanced_accuracy double, p_value double")
+
+
+def stream_diagnostics(spark, folder):
+    """The embedding table read as a stream of files and scored by a frozen model."""
+    s = embedding_spectra(spark, folder)
+    model = fit_pca(s, BASIC, 5)
+    limits = diagnostics(model, s)
+    ensure_checkpoint_dir(spark)
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    raw = scoring.arriving(spark, f"{folder}/embeddings*.parquet", table(spark, folder, "embeddings").schema)
+    live = Spectra(raw.select(F.col("vec_id").alias(ID), F.col("embedding").cast("array<double>").alias(Y)), s.axis)
+    scoring.start(scoring.flagged(model, limits, live), f"{base}/rows", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -540,6 +663,9 @@ QUERIES = {
         class_difference_regions, loading_regions,
         confusion_matrix, balanced_accuracy, specificity, family_summary,
         fold_assignment, row_fold_assignment, leakage_check, running_best, plsda_one_component,
+        pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
+        cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
+        spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics,
     )
 }
 QUERIES.update(

@@ -98,10 +98,8 @@ def _separations(spectra: Spectra, models: Sequence, label: str, sizes: dict[str
     planes = planes_of(spectra, models)
     labels = spectra.df.select(F.col(ID).cast("bigint").alias("id"), F.coalesce(F.col(label).cast("string"), F.lit("nan")).alias("label"))
     joined = planes.join(labels, "id")
-    return [
-        silhouettes(joined.select("id", "label", F.slice("xy", 2 * i + 1, 2).alias("p")), ["label"], "p", n, "id")[0]
-        for i in range(len(models))
-    ]
+    spans = [(2 * i, 2 * i + 2) for i in range(len(models))]
+    return silhouettes(joined, ["label"] * len(models), "xy", n, "id", spans)
 
 
 def compare_recipes(
