@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,7 +191,7 @@ def permuted_effects(
     values: Sequence[str],
     permutations: int,
     seed: int,
-    rows_per_bucket: int = 2_000,
+    rows_per_bucket: int = 64,
     max_buckets: int = 4_096,
     id_col: str = ID,
 ) -> dict[str, np.ndarray]:
@@ -295,7 +296,7 @@ def metadata_associations(
         *columns,
         *([cluster] if cluster else []),
         *[F.get("scores", F.lit(j)).alias(v) for j, v in enumerate(values)],
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # a few columns per sample, read by every screen below
     stats = {r["column"]: r for r in column_stats(df, columns).collect()} if columns else {}
     numeric, categorical = [], []
     for c in columns:
@@ -329,6 +330,7 @@ def metadata_associations(
             effect = effects[c]
             p = (1 + int((null[c] >= effect).sum())) / (1 + len(null[c])) if c in null else math.nan
             rows.append((c, "categorical", effect, p, *by_cluster.get(c, (math.nan, math.nan))))
+    df.unpersist()
     table = pd.DataFrame(
         rows,
         columns=[

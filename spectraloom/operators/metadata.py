@@ -129,7 +129,8 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).select("cell.column", "cell.value")
     text = F.trim("value")
     number = numeric_value(F.col("value"))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    dated = text.rlike(DATE_TEXT)
+    parsed = F.when(dated, F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]))
     is_year = number.between(1900, 2100) & (number == F.floor(number))
     distinct = (
         cells.groupBy("column", "value")
@@ -149,7 +150,7 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         weighted(number.isNotNull()).alias("numeric"),
         weighted(is_year).alias("years"),
         weighted(F.upper(text).rlike(STATE_TEXT)).alias("states"),
-        weighted(text.rlike(DATE_TEXT)).alias("date_like"),
+        weighted(dated).alias("date_like"),
         weighted(parsed.isNotNull()).alias("dates"),
     )
 

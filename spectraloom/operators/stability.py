@@ -29,7 +29,7 @@ from .pca import (
 )
 from .ranks import hash_order
 from .recipe import Step
-from .tiles import Tile, assign_blocks, group_tiles, squared
+from .tiles import TILE_ROWS, Tile, assign_blocks, group_tiles, squared
 
 # Stability thresholds.
 DISTANCE_STABLE = 0.70
@@ -65,7 +65,7 @@ def planes_of(spectra: Spectra, models: Sequence[PcaModel]) -> DataFrame:
     return raw.select("id", affine(F.col("xy"), literal(stats["m"]), literal(scale)).alias("xy"))
 
 
-def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows: int = 2_048) -> list[float]:
+def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows: int = TILE_ROWS) -> list[float]:
     """Spearman correlation of pairwise distances in each plane with those of plane 0.
 
     ``planes`` is ``(id, xy ARRAY<DOUBLE>[2 * width])``, the planes side by side.  Distances are

@@ -8,6 +8,7 @@ No cross join, no group larger than two blocks, whatever the key distribution.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -17,17 +18,24 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow_matrix import to_matrix
 
-TILE_ROWS = 2_048
+TILE_ROWS = 4_096
+LEAST_ROWS = 256
 SUB_ROWS = 512
 
 
-def block_count(n: int, tile_rows: int = TILE_ROWS) -> int:
-    return max(1, -(-n // tile_rows))
+def block_count(n: int, slots: int, tile_rows: int = TILE_ROWS) -> int:
+    """Enough blocks to bound a tile's memory, and enough tiles to occupy the task slots.
+
+    Each row is copied once per block, so blocks stay as large as those two aims allow.
+    """
+    bounded = -(-n // tile_rows)
+    busy = min(math.isqrt(2 * slots), n // LEAST_ROWS)
+    return max(1, bounded, busy)
 
 
 def assign_blocks(df: DataFrame, id_col: str, n: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Hash block per row over the whole table."""
-    blocks = block_count(n, tile_rows)
+    blocks = block_count(n, df.sparkSession.sparkContext.defaultParallelism, tile_rows)
     return df.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")).withColumn(
         "blocks", F.lit(blocks)
     )
