@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import BUCKET_ROWS, hash_order
+from .ranks import BUCKET_ROWS, cut_index, even_splits, hash_cuts, hash_value
 
 
 def _serpentine(rank: Column, folds: int) -> Column:
@@ -14,18 +14,25 @@ def _serpentine(rank: Column, folds: int) -> Column:
     return F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int")
 
 
-def row_folds(df: DataFrame, id_col: str, folds: int, seed: int, n: int, out: str = "fold") -> DataFrame:
-    """Shuffled K-fold of rows with sizes differing by at most one."""
-    ranked = hash_order(df, id_col, str(seed), [], n, "_rank")
-    return ranked.withColumn(out, (F.col("_rank") % folds).cast("int")).drop("_rank")
+def row_folds(df: DataFrame, id_col: str, folds: int, seed: int, out: str = "fold") -> DataFrame:
+    """Shuffled K-fold of rows with sizes differing by at most one; rows are not moved."""
+    salt = str(seed)
+    cuts = hash_cuts(df.select(id_col), id_col, [salt], even_splits(folds)).get((salt, None), [])
+    return df.withColumn(out, cut_index(id_col, salt, cuts))
 
 
 def stratified_row_folds(
-    df: DataFrame, id_col: str, label: str, folds: int, seed: int, n: int, out: str = "fold"
+    df: DataFrame, id_col: str, label: str, folds: int, seed: int, out: str = "fold"
 ) -> DataFrame:
     """Shuffled K-fold inside every class, so each fold sees every class."""
-    ranked = hash_order(df, id_col, str(seed), [label], n, "_rank")
-    return ranked.withColumn(out, (F.col("_rank") % folds).cast("int")).drop("_rank")
+    salt = str(seed)
+    cuts = hash_cuts(df.select(id_col, label), id_col, [salt], even_splits(folds), within=label)
+    table = F.create_map(
+        *[v for (_, g), c in cuts.items() for v in (F.lit(g), F.array(*[F.lit(x) for x in c]))]
+    )
+    mine = F.element_at(table, F.coalesce(F.col(label).cast("string"), F.lit("")))
+    value = hash_value(id_col, salt)
+    return df.withColumn(out, F.size(F.filter(mine, lambda c: value > c)))
 
 
 def group_folds(groups: DataFrame, folds: int, seed: int, out: str = "fold") -> DataFrame:

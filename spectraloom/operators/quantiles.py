@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GATHER_BOUND = 200_000
+GATHER_BOUND = 20_000
 MAX_KEYS = 200_000
 BINS = 256
 

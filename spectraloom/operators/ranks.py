@@ -6,11 +6,13 @@ bucket only needs the count of everything before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 200_000
 
 
 def average_rank(df: DataFrame, value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -44,30 +46,72 @@ def average_rank(df: DataFrame, value: str, out: str, bucket_rows: int = BUCKET_
     return df.join(ranked, df[value] == ranked["_v"]).drop("_v")
 
 
-def hash_order(df: DataFrame, key: str, salt: str, within: list[str], n: int, out: str) -> DataFrame:
-    """0-based position in the order of ``md5(salt|key)`` inside each ``within`` group.
+def hash_value(key: str, salt: str) -> Column:
+    """Order of rows under a seed: a function of the key alone."""
+    return F.md5(F.concat(F.lit(f"{salt}|"), F.col(key).cast("string")))
+
+
+def hash_cuts(
+    df: DataFrame,
+    key: str,
+    salts: Sequence[str],
+    positions: Callable[[int], Sequence[int]],
+    within: str | None = None,
+    bucket_rows: int = BUCKET_ROWS,
+) -> dict[tuple[str, str | None], list[str]]:
+    """Hash values that end the first ``p`` rows of each seeded order, for ``p`` in ``positions(n)``.
 
-    ``within`` groups may be arbitrarily large: each is cut into hash-prefix buckets.
+    Any exact split of the rows (folds, subsamples, label blocks) is then a comparison of a
+    row's own hash with a few constants: nothing but the key column is read here, and no wide
+    row is shuffled there.  ``within`` (class-count sized) cuts every group on its own.
+    Returns ``{(salt, group): [cut per position]}``; a cut for zero rows is the empty string.
     """
+    group = F.col(within).cast("string") if within else F.lit(None).cast("string")
+    hashed = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(s).alias("s"), hash_value(key, s).alias("h")) for s in salts])
+        ).alias("x"),
+        group.alias("g"),
+    ).select("x.s", F.coalesce("g", F.lit("")).alias("g"), "x.h")
+    n = df.count()
     digits = 0
-    while n / 16**digits > BUCKET_ROWS:
+    while n / 16**digits > bucket_rows and digits < 4:
         digits += 1
-    keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{salt}|"), F.col(key).cast("string")))).withColumn(
-        "_p", F.substring("_h", 1, digits) if digits else F.lit("")
-    )
-    order = Window.partitionBy(*within, "_p").orderBy("_h", key)
-    if not digits:
-        return keyed.withColumn(out, F.row_number().over(order) - 1).drop("_h", "_p")
-    before = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*within, "_p")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .drop("_c")
-    )
-    return (
-        keyed.withColumn("_r", F.row_number().over(order) - 1)
-        .join(offsets, [*within, "_p"])
-        .withColumn(out, F.col("_off") + F.col("_r"))
-        .drop("_h", "_p", "_r", "_off")
-    )
+    prefix = F.substring("h", 1, digits) if digits else F.lit("")
+    counted = hashed.groupBy("s", "g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
+    buckets: dict[tuple[str, str], list] = {}
+    for r in sorted(counted, key=lambda r: r["p"]):
+        buckets.setdefault((r["s"], r["g"]), []).append((r["p"], r["c"]))
+    wanted, cuts = [], {}
+    for (s, g), parts in buckets.items():
+        ends = list(positions(sum(c for _, c in parts)))
+        cuts[(s, g)] = ["" for _ in ends]
+        for j, end in enumerate(ends):
+            before = 0
+            for p, c in parts:
+                if before < end <= before + c:
+                    wanted.append((s, g, p, end - before, j))
+                before += c
+    if wanted:
+        side = df.sparkSession.createDataFrame(wanted, "s string, g string, p string, rn int, j int")
+        order = Window.partitionBy("s", "g", "p").orderBy("h")
+        near = F.broadcast(side.select("s", "g", "p").distinct())
+        placed = (
+            hashed.withColumn("p", prefix).join(near, ["s", "g", "p"], "left_semi")
+            .withColumn("rn", F.row_number().over(order))
+            .join(F.broadcast(side), ["s", "g", "p", "rn"])
+        )
+        for r in placed.select("s", "g", "j", "h").collect():
+            cuts[(r["s"], r["g"])][r["j"]] = r["h"]
+    return {(s, g if within else None): c for (s, g), c in cuts.items()}
+
+
+def cut_index(key: str, salt: str, cuts: Sequence[str]) -> Column:
+    """Which block of the seeded order a row falls in: 0 before the first cut, and so on."""
+    value = hash_value(key, salt)
+    return sum(((value > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def even_splits(parts: int) -> Callable[[int], list[int]]:
+    """Inner ends of ``parts`` blocks whose sizes differ by at most one."""
+    return lambda n: [n * f // parts for f in range(1, parts)]

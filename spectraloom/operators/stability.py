@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrow_matrix import to_list_array, to_matrix
 from ..functions.spectrum import affine, literal
 from ..session import durable
-from ..spectra import ID, Profile, Spectra
+from ..spectra import ID, Y, Profile, Spectra
 from .clustering import Stability, classify
 from .moments import accumulate
 from .pca import (
@@ -27,7 +27,7 @@ from .pca import (
     fold_moments,
     stateless,
 )
-from .ranks import hash_order
+from .ranks import cut_index, hash_cuts
 from .recipe import Step
 from .tiles import TILE_ROWS, Tile, assign_blocks, group_tiles, squared
 
@@ -180,17 +180,16 @@ def resampling_stability(
     max_pc = min(max(3, count + 3), 10, take - 2, spectra.width)
     fits: list[tuple[np.ndarray, np.ndarray]] = []
     choices: list[int] = []
+    salts = [f"{seed}:{r}" for r in range(resamples + component_resamples)]
+    # blocks 0..folds-1 are the subsample's folds, the last block is left out
+    ends = [take * f // folds for f in range(1, folds + 1)]
+    cuts = hash_cuts(spectra.df.select(ID), ID, salts, lambda _: ends)
     if profile.incomplete == 0 and center_is_last(steps):
         chain = stateless(spectra.axis, steps)
         pivot = chain.apply(profile.reference[None, :])[0]
-        assigned = spectra.signal()
-        for r in range(resamples + component_resamples):
-            assigned = hash_order(assigned, ID, f"{seed}:{r}", [], n, f"_o{r}")
-        keys = [
-            F.when(F.col(f"_o{r}") < take, F.lit(r * folds) + (F.col(f"_o{r}") % folds))
-            for r in range(resamples + component_resamples)
-        ]
-        replicated = assigned.select("y", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
+        blocks = [cut_index(ID, salt, cuts[(salt, None)]) for salt in salts]
+        keys = [F.when(b < folds, F.lit(r * folds) + b) for r, b in enumerate(blocks)]
+        replicated = spectra.df.select(Y, F.explode(F.array(*keys)).alias("key")).filter("key is not null")
         parts = accumulate(replicated, [chain], [pivot], key="key")
         for r in range(resamples + component_resamples):
             pieces = [parts[(0, r * folds + f)] for f in range(folds)]
@@ -204,15 +203,15 @@ def resampling_stability(
                 choices.append(cv_table([FoldMoments(whole - p, p, True) for p in pieces], max_pc, "K-fold")[1])
     else:
         for r in range(resamples + component_resamples):
-            ordered = hash_order(spectra.df, ID, f"{seed}:{r}", [], n, "_o")
-            part = Spectra(ordered.filter(F.col("_o") < take), spectra.axis, spectra.meta)
+            block = cut_index(ID, salts[r], cuts[(salts[r], None)])
+            marked = spectra.df.withColumn("fold", block).filter(F.col("fold") < folds)
+            part = Spectra(marked, spectra.axis, spectra.meta)
             facts = Profile(take, profile.incomplete, profile.reference)
             if r < resamples:
                 fit = fit_pca(part, steps, count, facts)
                 fits.append((fit.loadings, fit.ratio))
             elif max_pc >= 2:
-                folded = Spectra(part.df.withColumn("fold", (F.col("_o") % folds).cast("int")), part.axis, part.meta)
-                moments = fold_moments(folded, [steps], folds, facts)[0]
+                moments = fold_moments(part, [steps], folds, facts)[0]
                 choices.append(cv_table(moments, max_pc, "K-fold")[1])
     rows = []
     for k in range(count):

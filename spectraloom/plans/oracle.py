@@ -79,6 +79,12 @@ def _kth(k: str) -> str:
 )"""
 
 
+def _block(parts: int) -> str:
+    """Block of rank k (0-based) among n rows when the inner block ends are floor(n f / parts)."""
+    passed = [f"CASE WHEN k >= n * {f} // {parts} THEN 1 ELSE 0 END" for f in range(1, parts)]
+    return f"CAST({' + '.join(passed)} AS INTEGER)"
+
+
 _JUDGED = "j AS (SELECT doc_id, CAST(quality AS VARCHAR) AS truth, CAST(toxic AS VARCHAR) AS prediction FROM labels)"
 
 
@@ -157,7 +163,8 @@ ORACLE: dict[str, str] = {
         SELECT round(sum(cov) FILTER (i = j), 8) + 0.0 AS total, round(sum(cov * cov), 8) + 0.0 AS squared FROM s""",
     "pca_score_energy": f"""WITH {F1}, c AS (SELECT sample_index, v - avg(v) OVER (PARTITION BY pos) AS v FROM f1l)
         SELECT sample_index, round(sum(v * v), 6) + 0.0 AS energy FROM c GROUP BY sample_index""",
-    "pca_cv_fold_tss": f"""WITH {F1}, r AS (SELECT sample_index, CAST((row_number() OVER (ORDER BY md5('42|' || sample_index), sample_index) - 1) % 4 AS INTEGER) AS fold FROM f1),
+    "pca_cv_fold_tss": f"""WITH {F1}, k AS (SELECT sample_index, row_number() OVER (ORDER BY md5('42|' || sample_index)) - 1 AS k, count(*) OVER () AS n FROM f1),
+        r AS (SELECT sample_index, {_block(4)} AS fold FROM k),
         x AS (SELECT f1l.*, fold FROM f1l JOIN r USING (sample_index)),
         tot AS (SELECT pos, sum(v) AS s, count(*) AS n FROM x GROUP BY pos),
         per AS (SELECT pos, fold, sum(v) AS s, count(*) AS n FROM x GROUP BY pos, fold),
@@ -279,7 +286,8 @@ ORACLE: dict[str, str] = {
         SELECT class, support, round(CAST(tp AS DOUBLE) / support, 6) + 0.0 AS sensitivity_recall,
           round(CAST(n - support - (predicted - tp) AS DOUBLE) / (n - support), 6) + 0.0 AS specificity FROM pc, t""",
     "family_summary": f"""WITH {_JUDGED}, jd AS (SELECT j.*, lang AS model FROM j JOIN documents USING (doc_id)),
-        f AS (SELECT *, (row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1) % 3 AS fold FROM jd), {_scores('f', 'model, fold')}
+        jk AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || doc_id)) - 1 AS k, count(*) OVER () AS n FROM jd),
+        f AS (SELECT *, {_block(3)} AS fold FROM jk), {_scores('f', 'model, fold')}
         SELECT model, count(DISTINCT fold) AS folds, round(avg(balanced_accuracy), 6) + 0.0 AS mean_outer_balanced_accuracy,
           round(coalesce(stddev_samp(balanced_accuracy), 0), 6) + 0.0 AS outer_balanced_accuracy_sd, round(min(balanced_accuracy), 6) + 0.0 AS worst_outer_balanced_accuracy,
           round(max(balanced_accuracy), 6) + 0.0 AS best_outer_balanced_accuracy, round(avg(macro_f1), 6) + 0.0 AS mean_outer_macro_f1 FROM sc GROUP BY model""",
@@ -288,8 +296,9 @@ ORACLE: dict[str, str] = {
         st AS (SELECT "group", label AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY rows DESC, label DESC) AS rn FROM s) WHERE rn = 1),
         o AS (SELECT "group", stratum, size, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5('42|' || "group"), "group") - 1 AS k FROM g JOIN st USING ("group"))
         SELECT "group", stratum, size, CAST(CASE WHEN (k // 4) % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END AS INTEGER) AS fold FROM o""",
-    "row_fold_assignment": f"""WITH {F2} SELECT sample_index, o_orderpriority,
-        CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || sample_index), sample_index) - 1) % 5 AS INTEGER) AS fold FROM f2""",
+    "row_fold_assignment": f"""WITH {F2}, k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || sample_index)) - 1 AS k,
+          count(*) OVER (PARTITION BY o_orderpriority) AS n FROM f2)
+        SELECT sample_index, o_orderpriority, {_block(5)} AS fold FROM k""",
     "leakage_check": f"""WITH {F1} SELECT site || '|' || batch AS "group", count(*) AS rows, CAST(1 AS BIGINT) AS folds_seen FROM f1 GROUP BY ALL""",
     "running_best": f"""WITH {F1}, g AS (SELECT pos, avg(v) AS ga, var_pop(v) * count(*) AS tot FROM f1l GROUP BY pos),
         l AS (SELECT pos, class_label, count(*) AS c, avg(v) AS a FROM f1l GROUP BY ALL),

@@ -460,7 +460,7 @@ def family_summary(spark, folder):
     """Fold-wise scores per language family, summarised the way model families are."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("model"))
     judged = _judged(spark, folder).join(docs, "doc_id")
-    folded = folds.row_folds(judged, "doc_id", 3, 42, judged.count())
+    folded = folds.row_folds(judged, "doc_id", 3, 42)
     scores = metrics.summary_scores(metrics.confusion(folded, "truth", "prediction", ["model", "fold"]), ["model", "fold"])
     out = scores.groupBy("model").agg(
         F.count_distinct("fold").alias("folds"),
@@ -486,7 +486,7 @@ def fold_assignment(spark, folder):
 
 def row_fold_assignment(spark, folder):
     meta = order_metadata(spark, folder).select(ID, "o_orderpriority")
-    return folds.stratified_row_folds(meta, ID, "o_orderpriority", 5, 42, meta.count())
+    return folds.stratified_row_folds(meta, ID, "o_orderpriority", 5, 42)
 
 
 def leakage_check(spark, folder):

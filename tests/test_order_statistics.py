@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.operators.quantiles import exact_quantiles
-from spectraloom.operators.ranks import average_rank, hash_order
-from spectraloom.operators import ranks
+from spectraloom.operators import folds, ranks
+from spectraloom.operators.ranks import average_rank
 
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -44,11 +44,25 @@ def test_average_rank_is_global_with_ties(skewed, bucket_rows):
 
 
 @pytest.mark.parametrize("bucket_rows", [10**6, 50])
-def test_hash_order_is_a_permutation_per_group(skewed, monkeypatch, bucket_rows):
+@pytest.mark.parametrize("within", [None, "k"])
+def test_hash_cuts_split_exactly(skewed, bucket_rows, within):
     _, df = skewed
-    monkeypatch.setattr(ranks, "BUCKET_ROWS", bucket_rows)
-    got = hash_order(df, "id", "7", ["k"], 3000, "at").toPandas()
-    for _, part in got.groupby("k"):
-        assert sorted(part["at"]) == list(range(len(part)))
-    again = hash_order(df.repartition(2), "id", "7", ["k"], 3000, "at").toPandas()
-    assert got.sort_values("id")["at"].tolist() == again.sort_values("id")["at"].tolist()
+    salts = ["1", "2"]
+    cuts = ranks.hash_cuts(df, "id", salts, ranks.even_splits(7), within, bucket_rows)
+    seen = []
+    for salt in salts:
+        for g in ("a", "b") if within else (None,):
+            part = df.filter(F.col("k") == g) if g else df
+            got = part.select("id", ranks.cut_index("id", salt, cuts[(salt, g)]).alias("f")).toPandas()
+            sizes = got.f.value_counts()
+            assert sorted(sizes.index) == list(range(7)) and sizes.max() - sizes.min() <= 1
+            seen.append(tuple(got.sort_values("id").f))
+    assert len(set(seen)) == len(seen)
+
+
+def test_row_folds(spark, skewed):
+    _, df = skewed
+    got = folds.stratified_row_folds(df, "id", "k", 4, 42).toPandas()
+    assert (got.groupby("k").fold.value_counts().unstack().T.max() - got.groupby("k").fold.value_counts().unstack().T.min()).max() <= 1
+    few = folds.row_folds(spark.range(5).withColumnRenamed("id", "i"), "i", 3, 1).toPandas()
+    assert sorted(few.fold.value_counts()) == [1, 2, 2]

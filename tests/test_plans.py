@@ -158,6 +158,6 @@ def test_exploratory_mode_and_grouped_refusal(spark, two_class):
 
 
 def test_permuted_labels_keep_their_counts(two_class):
-    shuffled = nested.permute_labels(two_class, "label", 5, 32).df.toPandas().sort_values("sample_index")
+    shuffled = nested.permute_labels(two_class, "label", 5).df.toPandas().sort_values("sample_index")
     assert shuffled.label.value_counts().to_dict() == {"A": 16, "B": 16}
     assert (shuffled.label.to_numpy() != np.repeat(["A", "B"], 16)).any() and len(shuffled) == 32
