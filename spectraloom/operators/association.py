@@ -177,6 +177,30 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
+def _rank_screen(
+    df: DataFrame, complete: Sequence[str], values: Sequence[str], n: int
+) -> dict[str, list[tuple[int, float]]]:
+    """``(n, rho)`` per value for columns without gaps: the values are ranked once for all."""
+    if not complete:
+        return {}
+    ranked = df.select(
+        *values, *[numeric_value(F.col(f"`{c}`").cast("string")).alias(f"_x{i}") for i, c in enumerate(complete)]
+    )
+    for v in values:
+        ranked = average_rank(ranked, v, f"_r{v}", at_most=n)
+    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    out = {}
+    for i, c in enumerate(complete):
+        row = (
+            average_rank(ranked, f"_x{i}", "_rx", at_most=n)
+            .agg(F.count(F.lit(1)).alias("n"), *[F.corr("_rx", f"_r{v}").alias(v) for v in values])
+            .first()
+        )
+        out[c] = [(row["n"], row[v]) for v in values]
+    ranked.unpersist()
+    return out
+
+
 def _eta(n: np.ndarray, s: np.ndarray, total_n: float, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     """Eta squared of several values from per-level counts and sums."""
     grand = s1 * s1 / total_n
@@ -209,22 +233,27 @@ def permuted_effects(
     columns = [c for c in columns if c in blocks]
     if not columns or permutations < 1:
         return {}
-    largest = max(sum(r["n"] for r in b) for b in blocks.values())
-    buckets = int(min(max_buckets, max(1, largest // rows_per_bucket)))
-    flags = [F.col(f"`{c}`").isNotNull().alias(f"_has{i}") for i, c in enumerate(columns)]
+    sizes = {c: sum(r["n"] for r in blocks[c]) for c in columns}
+    whole = df.count()
+    # columns without gaps see the same rows, so they share one set of sums (slot 0)
+    gappy = [c for c in columns if sizes[c] < whole]
+    slot = {c: gappy.index(c) + 1 if c in gappy else 0 for c in columns}
+    buckets = int(min(max_buckets, max(1, min(whole // rows_per_bucket, 2 * math.isqrt(whole)))))
+    flags = [F.col(f"`{c}`").isNotNull().alias(f"_has{i + 1}") for i, c in enumerate(gappy)]
     replicated = (
         df.select(id_col, *values, *flags, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
         .withColumn("_h", F.xxhash64(F.lit(seed), F.col("rep"), F.col(id_col)))
         .withColumn("bucket", F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
     )
-    aggs = []
-    for i in range(len(columns)):
+    aggs = [F.count(F.lit(1)).alias("n0"), *[F.sum(v).alias(f"s0_{j}") for j, v in enumerate(values)]]
+    for i in range(1, len(gappy) + 1):
         aggs.append(F.count_if(f"_has{i}").alias(f"n{i}"))
         aggs += [
             F.sum(F.when(F.col(f"_has{i}"), F.col(v)).otherwise(0.0)).alias(f"s{i}_{j}")
             for j, v in enumerate(values)
         ]
-    coarse = replicated.groupBy("rep", "bucket").agg(*aggs).toPandas()  # permutations x buckets rows
+    # permutations x buckets rows
+    coarse = replicated.groupBy("rep", "bucket").agg(*aggs).toPandas().sort_values("bucket")
     width = len(values)
     acc = {
         (rep, i): (np.zeros(len(blocks[c])), np.zeros((len(blocks[c]), width)))
@@ -234,13 +263,14 @@ def permuted_effects(
     border = []
     for i, c in enumerate(columns):
         ends = np.cumsum([r["n"] for r in blocks[c]])
-        for rep, part in coarse.sort_values("bucket").groupby("rep"):
-            n = part[f"n{i}"].to_numpy()
+        at = slot[c]
+        for rep, part in coarse.groupby("rep"):
+            n = part[f"n{at}"].to_numpy()
             stop = np.cumsum(n)
             start = stop - n
             first = np.searchsorted(ends, start, side="right")
             last = np.searchsorted(ends, np.maximum(stop - 1, start), side="right")
-            sums = part[[f"s{i}_{j}" for j in range(width)]].to_numpy()
+            sums = part[[f"s{at}_{j}" for j in range(width)]].to_numpy()
             counts, totals = acc[(int(rep), i)]
             inside = (first == last) & (n > 0)
             np.add.at(counts, first[inside], n[inside])
@@ -252,9 +282,8 @@ def permuted_effects(
             border, "rep int, bucket int, col int, start bigint, ends array<bigint>"
         )
         # at most permutations x columns x MAX_LEVELS rows
-        rows = replicated.join(F.broadcast(side), ["rep", "bucket"]).filter(
-            F.get(F.array(*[F.col(f"_has{i}") for i in range(len(columns))]), F.col("col"))
-        )
+        present = F.array(*[F.col(f"_has{slot[c]}") if slot[c] else F.lit(True) for c in columns])
+        rows = replicated.join(F.broadcast(side), ["rep", "bucket"]).filter(F.get(present, F.col("col")))
         order = Window.partitionBy("rep", "bucket", "col").orderBy("_h", id_col)
         placed = rows.withColumn("at", F.col("start") + F.row_number().over(order) - 1).withColumn(
             "block", F.size(F.filter("ends", lambda e: e <= F.col("at")))
@@ -270,8 +299,7 @@ def permuted_effects(
     for i, c in enumerate(columns):
         s1 = np.array([sum(r[f"s_{v}"] for r in blocks[c]) for v in values])
         s2 = np.array([sum(r[f"ss_{v}"] for r in blocks[c]) for v in values])
-        n = sum(r["n"] for r in blocks[c])
-        out[c] = np.array([_eta(*acc[(rep, i)], n, s1, s2).max() for rep in range(permutations)])
+        out[c] = np.array([_eta(*acc[(rep, i)], sizes[c], s1, s2).max() for rep in range(permutations)])
     return out
 
 
@@ -308,11 +336,17 @@ def metadata_associations(
         elif 2 <= s["unique"] <= min(MAX_LEVELS, max(2, s["present"] // 2)):
             categorical.append(c)
     rows = []
+    whole = {c: stats[c]["numeric"] == stats[c]["rows"] for c in numeric}
+    total = max((stats[c]["rows"] for c in numeric), default=0)
+    screened = _rank_screen(df, [c for c in numeric if whole[c]], values, total)
     for c in numeric:
-        parsed = df.select(numeric_value(F.col(f"`{c}`").cast("string")).alias("_x"), *values)
-        found = [spearman(parsed, "_x", v).first() for v in values]
-        rho = [abs(r["rho"]) if r["rho"] is not None and math.isfinite(r["rho"]) else 0.0 for r in found]
-        p = [special.spearman_p_value(r["rho"] if r["rho"] is not None else math.nan, r["n"]) for r in found]
+        if not whole[c]:
+            # ranks among the rows that have this value
+            parsed = df.select(numeric_value(F.col(f"`{c}`").cast("string")).alias("_x"), *values)
+            screened[c] = [(r["n"], r["rho"]) for r in (spearman(parsed, "_x", v).first() for v in values)]
+        found = [(n, r if r is not None else math.nan) for n, r in screened[c]]
+        rho = [abs(r) if math.isfinite(r) else 0.0 for _, r in found]
+        p = [special.spearman_p_value(r, n) for n, r in found]
         p = [v for v in p if math.isfinite(v)]
         rows.append((c, "numeric", max(rho), min(p, default=math.nan), math.nan, math.nan))
     if categorical:

@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.arrow_matrix import to_list_array, to_matrix
 from ..spectra import Y
@@ -62,7 +63,8 @@ def accumulate(
 ) -> dict[tuple[int, int], Moments]:
     """Moments of every chain's output per integer ``key`` in a single scan.
 
-    ``side`` names an optional second array column (class indicators) appended to each row,
+    ``key`` may also be an ``array<int>`` column: the row then counts under each of its keys
+    (subsamples, for example) without being copied; null entries are skipped.  ``side`` names an optional second array column (class indicators) appended to each row,
     so that cross moments come from the same pass.  Returns ``{(chain, key): Moments}``.
     """
     widths = [len(c.axis) + side_width for c in chains]
@@ -70,7 +72,9 @@ def accumulate(
         raise ValueError(
             f"{max(widths)} variables exceed the {MAX_WIDTH}-variable Gram bound; narrow the axis first."
         )
-    columns = [F.col(y).alias("_y"), (F.col(key) if key else F.lit(0)).cast("int").alias("_k")]
+    many = key is not None and isinstance(df.schema[key].dataType, ArrayType)
+    code = F.col(key).cast("array<int>" if many else "int") if key else F.lit(0)
+    columns = [F.col(y).alias("_y"), code.alias("_k")]
     if side:
         columns.append(F.col(side).alias("_side"))
 
@@ -80,21 +84,22 @@ def accumulate(
             if not batch.num_rows:
                 continue
             raw = to_matrix(batch.column(0))
-            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            keys = to_matrix(batch.column(1)) if many else batch.column(1).to_numpy(zero_copy_only=False)[:, None]
             extra = to_matrix(batch.column(2), side_width) if side else None
             for c, chain in enumerate(chains):
                 z = chain.apply(raw) - pivots[c]
                 if extra is not None:
                     z = np.hstack([z, extra])
                 z = np.hstack([z, np.ones((len(z), 1))])
-                for k in np.unique(keys):
-                    part = z[keys == k]
-                    piece = part.T @ part
-                    at = (c, int(k))
-                    if at in sums:
-                        sums[at] += piece
-                    else:
-                        sums[at] = piece
+                for codes in keys.T:
+                    for k in np.unique(codes[np.isfinite(codes)]):
+                        part = z[codes == k]
+                        piece = part.T @ part
+                        at = (c, int(k))
+                        if at in sums:
+                            sums[at] += piece
+                        else:
+                            sums[at] = piece
         for (c, k), gram in sums.items():
             packed = gram[np.triu_indices(len(gram))]
             for at in range(0, len(packed), PIECE):

@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 200_000
 
 
-def average_rank(df: DataFrame, value: str, out: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Append the 1-based tie-averaged rank of ``value`` over the whole table."""
+def average_rank(
+    df: DataFrame, value: str, out: str, bucket_rows: int = BUCKET_ROWS, at_most: int | None = None
+) -> DataFrame:
+    """Append the 1-based tie-averaged rank of ``value`` over the whole table.
+
+    ``at_most`` is a known bound on the rows; when it fits one bucket no size pass is needed.
+    """
     distinct = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    n = distinct.count()
+    n = at_most if at_most is not None and at_most <= bucket_rows else distinct.count()
     buckets = max(1, -(-n // bucket_rows))
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
@@ -108,8 +113,14 @@ def hash_cuts(
 
 def cut_index(key: str, salt: str, cuts: Sequence[str]) -> Column:
     """Which block of the seeded order a row falls in: 0 before the first cut, and so on."""
-    value = hash_value(key, salt)
-    return sum(((value > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    ends = list(cuts)
+    if not ends:
+        return F.lit(0)
+    # the hash is bound once and compared with every cut
+    passed = F.transform(
+        F.array(hash_value(key, salt)), lambda h: sum(((h > F.lit(c)).cast("int") for c in ends), F.lit(0))
+    )
+    return F.get(passed, F.lit(0))
 
 
 def even_splits(parts: int) -> Callable[[int], list[int]]:

@@ -168,8 +168,8 @@ def resampling_stability(
     """Loading, variance and component-count stability over 80% subsamples without replacement.
 
     Subsamples are exact-size hash-order prefixes.  For trailing mean-center recipes on
-    complete data the rows are replicated inside one scan and every subsample (and every
-    fold of the component-count resamples) is a key of that scan.
+    complete data every subsample (and every fold of the component-count resamples) is a key
+    of one scan; a row is read once however many subsamples it belongs to.
     """
     n = profile.n
     if n < 6:
@@ -187,10 +187,9 @@ def resampling_stability(
     if profile.incomplete == 0 and center_is_last(steps):
         chain = stateless(spectra.axis, steps)
         pivot = chain.apply(profile.reference[None, :])[0]
-        blocks = [cut_index(ID, salt, cuts[(salt, None)]) for salt in salts]
-        keys = [F.when(b < folds, F.lit(r * folds) + b) for r, b in enumerate(blocks)]
-        replicated = spectra.df.select(Y, F.explode(F.array(*keys)).alias("key")).filter("key is not null")
-        parts = accumulate(replicated, [chain], [pivot], key="key")
+        blocks = F.array(*[cut_index(ID, salt, cuts[(salt, None)]) for salt in salts])
+        keys = F.transform(blocks, lambda b, r: F.when(b < folds, r * folds + b))
+        parts = accumulate(spectra.df.select(Y, keys.alias("key")), [chain], [pivot], key="key")
         for r in range(resamples + component_resamples):
             pieces = [parts[(0, r * folds + f)] for f in range(folds)]
             whole = pieces[0]
