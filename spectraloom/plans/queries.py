@@ -51,7 +51,7 @@ BASIC = [Step("SNV"), Step("Mean center")]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round doubles and turn -0.0 into 0.0, as the reference SQL does."""
+    """Round doubles and turn -0.0 into 0.0, as the checking SQL does."""
     return df.select(
         *[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
