@@ -14,10 +14,12 @@ def _serpentine(rank: Column, folds: int) -> Column:
     return F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int")
 
 
-def row_folds(df: DataFrame, id_col: str, folds: int, seed: int, out: str = "fold") -> DataFrame:
+def row_folds(
+    df: DataFrame, id_col: str, folds: int, seed: int, out: str = "fold", n: int | None = None
+) -> DataFrame:
     """Shuffled K-fold of rows with sizes differing by at most one; rows are not moved."""
     salt = str(seed)
-    cuts = hash_cuts(df.select(id_col), id_col, [salt], even_splits(folds)).get((salt, None), [])
+    cuts = hash_cuts(df.select(id_col), id_col, [salt], even_splits(folds), n=n).get((salt, None), [])
     return df.withColumn(out, cut_index(id_col, salt, cuts))
 
 

@@ -272,7 +272,7 @@ def assign_folds(
         count = min(int(folds), n)
         if count < 2:
             raise ValueError("At least two folds are required.")
-        df = row_folds(spectra.df, ID, count, seed)
+        df = row_folds(spectra.df, ID, count, seed, n=n)
         return Spectra(df, spectra.axis, spectra.meta), count, "K-fold"
     keyed = spectra.df.withColumn("_g", F.col(group).cast("string"))
     sizes = keyed.groupBy(F.col("_g").alias("group")).agg(F.count(F.lit(1)).alias("rows"))

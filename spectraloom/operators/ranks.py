@@ -63,6 +63,7 @@ def hash_cuts(
     positions: Callable[[int], Sequence[int]],
     within: str | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    n: int | None = None,
 ) -> dict[tuple[str, str | None], list[str]]:
     """Hash values that end the first ``p`` rows of each seeded order, for ``p`` in ``positions(n)``.
 
@@ -78,7 +79,7 @@ def hash_cuts(
         ).alias("x"),
         group.alias("g"),
     ).select("x.s", F.coalesce("g", F.lit("")).alias("g"), "x.h")
-    n = df.count()
+    n = df.count() if n is None else n
     digits = 0
     while n / 16**digits > bucket_rows and digits < 4:
         digits += 1

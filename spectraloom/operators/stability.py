@@ -183,7 +183,7 @@ def resampling_stability(
     salts = [f"{seed}:{r}" for r in range(resamples + component_resamples)]
     # blocks 0..folds-1 are the subsample's folds, the last block is left out
     ends = [take * f // folds for f in range(1, folds + 1)]
-    cuts = hash_cuts(spectra.df.select(ID), ID, salts, lambda _: ends)
+    cuts = hash_cuts(spectra.df.select(ID), ID, salts, lambda _: ends, n=n)
     if profile.incomplete == 0 and center_is_last(steps):
         chain = stateless(spectra.axis, steps)
         pivot = chain.apply(profile.reference[None, :])[0]
