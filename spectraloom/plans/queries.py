@@ -30,7 +30,7 @@ from ..operators.plsda import fit_plsda, indicator
 from ..operators.quantiles import exact_quantiles
 from ..operators.recipe import Step
 from ..operators.ward import ward
-from ..session import durable, ensure_checkpoint_dir
+from ..session import durable, shared_folder
 from ..sources.sinks import write_spectra
 from ..sources.spectra_csv import load_csv
 from ..sources.tables import (
@@ -107,9 +107,7 @@ def load_summary(spark, folder):
 
 
 def csv_round_trip(spark, folder):
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    target = f"{shared.rstrip('/')}/spectra-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark).rstrip('/')}/spectra-{uuid.uuid4().hex}"
     write_spectra(supplier_spectra(spark, folder), target)
     return rounded(load_csv(spark, target, index=ID).long().select(ID, "wn", "y"), "y", digits=2)
 
@@ -640,10 +638,8 @@ def stream_diagnostics(spark, folder):
     s = embedding_spectra(spark, folder)
     model = fit_pca(s, BASIC, 5)
     limits = diagnostics(model, s)
-    ensure_checkpoint_dir(spark)
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
-    raw = scoring.arriving(spark, f"{folder}/embeddings*.parquet", table(spark, folder, "embeddings").schema)
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    raw = scoring.arriving(spark, f"{folder}/[e]mbeddings.parquet", table(spark, folder, "embeddings").schema)
     live = Spectra(raw.select(F.col("vec_id").alias(ID), F.col("embedding").cast("array<double>").alias(Y)), s.axis)
     scoring.start(scoring.flagged(model, limits, live), f"{base}/rows", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/rows")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +27,57 @@ def build_session(master: str | None = None, app_name: str = "spectraloom", **co
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read, as ``spark.checkpoint.dir`` names it.
+
+    Only a local session, where driver and executors are one process, may go without: it gets
+    a scratch folder of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        _scratch[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _scratch[application]
+
+
+_scratch: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only if unset."""
+    """Checkpoint into the shared folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in reliable storage, so lost executors do not replay its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: smaller than a checkpoint,
+    and what follows it replays nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once per application, as ``--py-files`` would."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "spectraloom_package")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "spectraloom"))
+    _shipped.add(application)
+
+
+_shipped: set[str] = set()
