@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, mixing, quality, simhash, token_store
 from .text import table
 
 
@@ -19,11 +19,44 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op10_simhash)}
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.measures(table(spark, folder, "documents"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.documents_of(token_store.write_store(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op6_mixing, op9_token_store, op10_simhash)}
 
 WORDS = "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 ORACLE = {
+    "op6_mixing": """
+WITH d AS (SELECT doc_id, source, md5(text) AS h, CAST(len(list_filter(
+        string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(p - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap
+    FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS p FROM s)),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, p
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight, p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM l WHERE level * weight <= cap
+    ORDER BY cap / weight, p LIMIT 1), cap)) AS target FROM l),
+b AS (SELECT *, greatest(length(bin(size)) - 6, 0) AS shift,
+    CAST('0x' || substr(md5(concat(doc_id, '|', h)), 1, 8) AS BIGINT) % 64 AS salt FROM d),
+r AS (SELECT doc_id, size, source, row_number() OVER (PARTITION BY source
+    ORDER BY shift * 64 + (size >> shift), salt, size, doc_id, h) AS n FROM b),
+c AS (SELECT doc_id, size, source_size, target, n, target / source_size AS rate,
+    CAST('0x' || substr(md5('42|' || coalesce(r.source, '')), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS o
+    FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, CASE WHEN size > 0 THEN CAST(floor(n * rate + o) - floor((n - 1) * rate + o) AS BIGINT) ELSE 0 END AS copies FROM c)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k""",
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format("text")} AS w FROM benchmark),
