@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, token_store
+from . import decontaminate, mixing, quality, simhash, substrings, token_store
 from .text import table
 
 
@@ -23,6 +23,10 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measures(table(spark, folder, "documents"))
 
 
+def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents")).drop("text_hash")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mixed(table(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -32,11 +36,24 @@ def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.documents_of(token_store.write_store(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op6_mixing, op9_token_store, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_substrings, op6_mixing, op9_token_store, op10_simhash)}
 
 WORDS = "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 ORACLE = {
+    "op5_substrings": """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS k FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM rep),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+    FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_mixing": """
 WITH d AS (SELECT doc_id, source, md5(text) AS h, CAST(len(list_filter(
         string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
