@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, pseudonyms, quality, simhash, substrings, token_store
+from . import chat, decontaminate, html_text, licenses, mixing, pseudonyms, quality, simhash, substrings, token_store
 from .text import table
 
 
@@ -19,6 +19,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -55,7 +59,7 @@ def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.documents_of(token_store.write_store(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_licenses, op4_quality, op5_substrings, op6_mixing, op7_pseudonyms, op8_chat, op9_token_store, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_licenses, op4_quality, op5_substrings, op6_mixing, op7_pseudonyms, op8_chat, op9_token_store, op10_simhash)}
 
 WORDS = "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
