@@ -13,8 +13,9 @@ single windows; those of the rest form the groups.
 Groups.  Suffixes are parted by the anchor's words, the short prefix.  An anchor seen more than
 ``group_rows`` times would make too large a group: its suffixes are parted by all of their words
 instead, the longest prefix there is, at which a group is a node and only needs counting, which
-Spark does before it shuffles.  Every other group fits a task.  There the subtree is the sorted
-suffixes with the word lengths of their common prefixes, and its deep nodes are the runs of
+Spark does before it shuffles.  Every other group fits a task.  Only suffixes that have the anchor at
+the same offset can be equal, so each offset makes a subtree of its own: the sorted
+suffixes with the word lengths of their common prefixes, its deep nodes being the runs of
 neighbours that share ``window`` words.
 
 Texts travel once, to meet their repeated anchors; after that only documents that have some.
@@ -27,6 +28,8 @@ count; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,8 @@ from .text import byte_texts, pieces
 
 WINDOW = 35
 GRAM = 12
-GROUP_ROWS = 4_096
+#: Rows of a group; with their word places and the leaves of one offset some kilobyte each.
+GROUP_ROWS = 32_768
 #: Rows of one Arrow batch given back.
 OUT_ROWS = 8_192
 KEY = ["doc_id", "text_hash"]
@@ -109,32 +113,38 @@ def suffix_rows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                 first, after = np.searchsorted(anchor, at), np.searchsorted(anchor, at, side="right")
                 for x, a, b in zip(found, first.tolist(), after.tolist()):
                     made.append(
-                        (i, hashes[x["at"]].view(np.int64), x["hot"], a, b - 1, b" ".join(words[a : b - 1 + window]))
+                        (i, hashes[x["at"]].view(np.int64), x["hot"], x["at"], a, b - 1, b" ".join(words[a : b - 1 + window]))
                     )
             for part in range(0, len(made), OUT_ROWS):
-                row, runs, hot, first, last, text = zip(*made[part : part + OUT_ROWS])
+                row, runs, hot, at, first, last, text = zip(*made[part : part + OUT_ROWS])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(row)),
                         batch.column(1).take(pa.array(row)),
                         pa.array(runs, pa.int64()),
                         pa.array(hot, pa.bool_()),
+                        pa.array(at, pa.int32()),
                         pa.array(first, pa.int32()),
                         pa.array(last, pa.int32()),
                         pa.array(text, pa.binary()),
                     ],
-                    [*KEY, "run", "hot", "first", "last", "words"],
+                    [*KEY, "run", "hot", "at", "first", "last", "words"],
                 )
 
     return candidates.select(*KEY, "text", "anchors").mapInArrow(
-        run, f"{key_types(candidates)}, run bigint, hot boolean, first int, last int, words binary"
+        run, f"{key_types(candidates)}, run bigint, hot boolean, at int, first int, last int, words binary"
     )
 
 
+def word_starts(words: bytes) -> array:
+    """Where the words joined by spaces begin, and one past the end and its space."""
+    return array("I", [0, *itertools.accumulate(len(w) + 1 for w in words.split(b" "))])
+
+
 def suffixes(words: bytes, count: int, window: int) -> list[bytes]:
-    """The first ``count`` suffixes of joined words, cut to the window."""
-    cut = words.split()
-    return [b" ".join(cut[j : j + window]) for j in range(count)]
+    """The first ``count`` suffixes, cut to the window."""
+    at = word_starts(words)
+    return [words[at[j] : at[j + window] - 1] for j in range(count)]
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -149,16 +159,15 @@ def common_words(a: bytes, b: bytes) -> int:
     return n
 
 
-def deep_leaves(leaves: list[tuple[bytes, int, int]], window: int) -> list[tuple[int, int]]:
-    """(row, window) of all suffixes below a node at least ``window`` words deep.
+def deep_leaves(leaves: list[tuple[bytes, int]], window: int) -> list[int]:
+    """The rows of all suffixes below a node at least ``window`` words deep.
 
-    ``leaves`` are (suffix, row, window); sorted, they are the subtree's leaves in order, and the
-    common prefixes of neighbours are the depths of its inner nodes.
+    ``leaves`` are (suffix, row); sorted, they are the subtree's leaves in order, and the common
+    prefixes of neighbours are the depths of its inner nodes.
     """
     leaves.sort()
-    deep = [common_words(a[0], b[0]) >= window if len(a[0]) == len(b[0]) else False for a, b in zip(leaves, leaves[1:])]
-    below = [x or y for x, y in zip([False, *deep], [*deep, False])]
-    return [(row, j) for (_, row, j), yes in zip(leaves, below) if yes]
+    deep = [a[0] == b[0] or common_words(a[0], b[0]) >= window for a, b in itertools.pairwise(leaves)]
+    return [row for (_, row), before, after in zip(leaves, [False, *deep], [*deep, False]) if before or after]
 
 
 def group_repeats(rows: DataFrame, window: int) -> DataFrame:
@@ -167,16 +176,19 @@ def group_repeats(rows: DataFrame, window: int) -> DataFrame:
     def subtree(rows: list[tuple], out: list[tuple]) -> None:
         if len(rows) < 2:
             return
-        leaves = [
-            (suffix, i, first + j)
-            for i, (_, _, first, last, words) in enumerate(rows)
-            for j, suffix in enumerate(suffixes(words, last - first + 1, window))
-        ]
+        cuts = [word_starts(words) for *_, words in rows]
         marked: dict[int, list[int]] = {}
-        for i, at in deep_leaves(leaves, window):
-            marked.setdefault(i, []).append(at)
-        for i, at in marked.items():
-            out.extend((*rows[i][:2], a, b + window) for a, b in stretches(sorted(at)))
+        for offset in range(max(at - first for _, _, at, first, _, _ in rows) + 1):
+            leaves = [
+                (words[cuts[i][j] : cuts[i][j + window] - 1], i)
+                for i, (_, _, at, first, last, words) in enumerate(rows)
+                if 0 <= (j := at - offset - first) <= last - first
+            ]
+            if len(leaves) > 1:
+                for i in deep_leaves(leaves, window):
+                    marked.setdefault(i, []).append(rows[i][2] - offset)
+        for i, starts in marked.items():
+            out.extend((*rows[i][:2], a, b + window) for a, b in stretches(sorted(starts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows, out = None, [], []
@@ -193,7 +205,7 @@ def group_repeats(rows: DataFrame, window: int) -> DataFrame:
         yield spans_batch(out, kind)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parted = rows.filter("not hot").select("run", *KEY, "first", "last", "words").repartition("run")
+    parted = rows.filter("not hot").select("run", *KEY, "at", "first", "last", "words").repartition("run")
     return parted.sortWithinPartitions("run").mapInArrow(run, f"{key_types(rows)}, start int, end int")
 
 
@@ -238,9 +250,8 @@ def hot_repeats(rows: DataFrame, window: int) -> DataFrame:
                 [*KEY, "start", "node"],
             )
 
-    leaves = rows.filter("hot").select(*KEY, "first", "last", "words").mapInArrow(
-        run, f"{key_types(rows)}, start int, node binary"
-    )
+    hot = rows.filter("hot").select(*KEY, "first", "last", "words")
+    leaves = written(hot.mapInArrow(run, f"{key_types(rows)}, start int, node binary"))
     deep = leaves.groupBy("node").count().filter("count > 1").select("node")
     return leaves.join(deep, "node", "left_semi").select(*KEY, "start", (F.col("start") + window).alias("end"))
 
@@ -250,8 +261,11 @@ def removals(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents keyed, those with repeated anchors, and the stretches of words to remove."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    anchor = places(keyed, window, gram)
-    repeated = anchor.groupBy("run").count().filter("count > 1").select("run", (F.col("count") > group_rows).alias("hot"))
+    anchor = written(places(keyed, window, gram))
+    # as a table of its own, so that a frequent anchor's rows can be split in the join
+    repeated = written(
+        anchor.groupBy("run").count().filter("count > 1").select("run", (F.col("count") > group_rows).alias("hot"))
+    )
     found = (
         anchor.join(repeated, "run")
         .groupBy(*KEY)
