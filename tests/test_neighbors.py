@@ -169,3 +169,19 @@ def test_replicate_correlation_with_a_hot_group(spark, monkeypatch, tile):
         r = np.corrcoef(x[g == name])[np.triu_indices((g == name).sum(), 1)]
         assert got.mean_pairwise_correlation[name] == pytest.approx(r.mean())
         assert got.minimum_pairwise_correlation[name] == pytest.approx(r.min())
+
+
+def test_kmeans_seeds_on_all_rows(spark):
+    """A handful of far rows must seed a centre of their own, however many rows there are."""
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal((0, 0), 1, (14_997, 2)), rng.normal((20, 0), 1, (14_997, 2)), rng.normal((10, 200), 1, (6, 2))])
+    rows = [(0, i, [float(a), float(b)]) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "g int, id bigint, x array<double>").repartition(6)
+    best = kmeans.fit(df, [3], 10)[(0, 3)]
+    want = sum(((part - part.mean(axis=0)) ** 2).sum() for part in (x[:14_997], x[14_997:29_994], x[29_994:]))
+    assert abs(best.inertia - want) < 1e-6 * want
+
+
+def test_kmeans_with_fewer_points_than_centres(spark):
+    df = spark.createDataFrame([(0, i, [float(i % 2), 1.0]) for i in range(20)], "g int, id bigint, x array<double>")
+    assert kmeans.fit(df, [3], 3)[(0, 3)].inertia == 0.0
