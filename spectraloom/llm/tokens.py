@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -22,34 +23,46 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(
     f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]?+[A-Za-z0-9À-ÖØ-öø-ÿ]++(?=[!-/:-@\\[-`{{-~])|[{WHITE}]?[^{WHITE}]+"
 )
-#: Distinct chunks that a worker keeps, some 80 MB.
-KEPT_CHUNKS = 400_000
+#: Distinct chunks of one generation; a worker keeps two, some 200 MB.
+KEPT_CHUNKS = 500_000
 #: Chunks above this many characters are encoded anew.
 KEPT_CHARS = 64
 
 
 class Encoder:
-    """Texts to arrays of ids; ``encode`` gives the ids of a list of strings."""
+    """Texts to arrays of ids; ``encode`` gives the ids of a list of strings.
+
+    Chunks are kept in two generations: when the young one is full it becomes the old one, and chunks
+    found there move on to the next, so that frequent chunks stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], whole: tuple[str, ...] = ()):
-        self._encode, self._whole, self._kept = encode, whole, {}
+        self._encode, self._whole = encode, whole
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         if any(w in text for w in self._whole):  # strings that the library treats apart
-            return np.array(self._encode([text])[0], dtype=np.uint32)
+            return np.array(self._encode([text])[0], dtype="<u4")
         chunks = CHUNK.findall(text)
-        kept = self._kept
-        new = [c for c in dict.fromkeys(chunks) if c not in kept]
-        passing = {}
-        for c, ids in zip(new, self._encode(new) if new else ()):
-            (kept if len(c) <= KEPT_CHARS else passing)[c] = np.array(ids, dtype="<u4").tobytes()
-        if passing:
-            joined = b"".join([kept[c] if c in kept else passing[c] for c in chunks])
-        else:
-            joined = b"".join([kept[c] for c in chunks])
-        if len(kept) > KEPT_CHUNKS:
-            kept.clear()
-        return np.frombuffer(joined, dtype="<u4")
+        parts = list(map(self._young.get, chunks))
+        if None in parts:
+            missing = [i for i, part in enumerate(parts) if part is None]
+            found = self._added({chunks[i] for i in missing})
+            for i in missing:
+                parts[i] = found[chunks[i]]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
+
+    def _added(self, chunks: set[str]) -> dict[str, bytes]:
+        old = self._old
+        found = {c: old[c] for c in chunks if c in old}
+        new = [c for c in chunks if c not in old]
+        if new:
+            found.update(zip(new, [array("I", ids).tobytes() for ids in self._encode(new)]))
+        self._young.update(found if max(map(len, new), default=0) <= KEPT_CHARS else {c: x for c, x in found.items() if len(c) <= KEPT_CHARS})
+        if len(self._young) > KEPT_CHUNKS:
+            self._old, self._young = self._young, {}
+        return found
 
 
 @cache
