@@ -95,9 +95,14 @@ def keep_positions(y: Column, positions) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def finite(v: Column) -> Column:
+    """Whether a cell holds a number: neither null nor NaN nor infinite."""
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+
 def fill_missing(y: Column, fill: Column) -> Column:
-    """Replace null / NaN elements by the aligned element of ``fill``."""
-    return F.zip_with(y, fill, lambda v, m: F.coalesce(F.nanvl(v, F.lit(None).cast("double")), m))
+    """Replace elements that are not finite by the aligned element of ``fill``."""
+    return F.zip_with(y, fill, lambda v, m: F.when(finite(v), v).otherwise(m))
 
 
 def affine(y: Column, shift: Column, scale: Column | None = None) -> Column:
@@ -109,7 +114,7 @@ def affine(y: Column, shift: Column, scale: Column | None = None) -> Column:
 
 
 def missing_count(y: Column) -> Column:
-    return F.size(F.filter(y, lambda v: v.isNull() | F.isnan(v)))
+    return F.size(F.filter(y, lambda v: ~finite(v)))
 
 
 def median(y: Column) -> Column:

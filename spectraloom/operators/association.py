@@ -115,7 +115,7 @@ def _confound_level(v: float) -> str:
 
 
 def level_moments(df: DataFrame, columns: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """``(metadata, level, n, s_<v>, ss_<v>...)``: one row per level of every column."""
+    """``(metadata, level, n, m_<v>, d_<v>...)``: size, mean and sum of squared deviations of each level."""
     cells = F.explode(
         F.array(
             *[F.struct(F.lit(c).alias("m"), F.col(f"`{c}`").cast("string").alias("l")) for c in columns]
@@ -124,7 +124,7 @@ def level_moments(df: DataFrame, columns: Sequence[str], values: Sequence[str])
     sums = [
         agg
         for v in values
-        for agg in (F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"ss_{v}"))
+        for agg in (F.avg(v).alias(f"m_{v}"), (F.var_pop(v) * F.count(v)).alias(f"d_{v}"))
     ]
     return (
         df.select(*values, cells)
@@ -141,30 +141,17 @@ def eta_squared(df: DataFrame, columns: Sequence[str], values: Sequence[str]) ->
         "metadata",
         "n",
         F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(v).alias("value"), F.col(f"s_{v}").alias("s"), F.col(f"ss_{v}").alias("ss")
-                    )
-                    for v in values
-                ]
-            )
+            F.array(*[F.struct(F.lit(v).alias("value"), F.col(f"m_{v}").alias("m"), F.col(f"d_{v}").alias("d")) for v in values])
         ).alias("x"),
-    )
-    summed = long.groupBy("metadata", F.col("x.value").alias("value")).agg(
+    ).select("metadata", "n", F.col("x.value").alias("value"), F.col("x.m").alias("m"), F.col("x.d").alias("d"))
+    # one row per level: the weighted grand mean first, deviations of level means from it after
+    grand = Window.partitionBy("metadata", "value")
+    centred = long.withColumn("off", F.col("m") - F.sum(F.col("n") * F.col("m")).over(grand) / F.sum("n").over(grand))
+    between = F.sum(F.col("n") * F.col("off") * F.col("off"))
+    whole = between + F.sum("d")
+    return centred.groupBy("metadata", "value").agg(
         F.sum("n").alias("n"),
-        F.sum("x.s").alias("s"),
-        F.sum("x.ss").alias("ss"),
-        F.sum(F.col("x.s") * F.col("x.s") / F.col("n")).alias("levels"),
-    )
-    grand = F.col("s") * F.col("s") / F.col("n")
-    whole = F.col("ss") - grand
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("levels") - grand) / whole))
-    return summed.select(
-        "metadata",
-        "value",
-        "n",
-        F.when(whole <= 1e-15, F.lit(0.0)).otherwise(share).alias("eta_squared"),
+        F.when(whole > 0, F.least(F.lit(1.0), between / whole)).otherwise(F.lit(0.0)).alias("eta_squared"),
     )
 
 
@@ -206,7 +193,7 @@ def _eta(n: np.ndarray, s: np.ndarray, total_n: float, s1: np.ndarray, s2: np.nd
     grand = s1 * s1 / total_n
     whole = s2 - grand
     levels = (s * s / np.maximum(n, 1)[:, None]).sum(axis=0)
-    return np.where(whole <= 1e-15, 0.0, np.clip((levels - grand) / np.where(whole == 0, 1, whole), 0, 1))
+    return np.where(whole <= 0, 0.0, np.clip((levels - grand) / np.where(whole <= 0, 1, whole), 0, 1))
 
 
 def permuted_effects(
@@ -226,6 +213,9 @@ def permuted_effects(
     combine; a bucket lying inside one label block contributes its sums directly, and only
     the few buckets that straddle a block border are ordered row by row.
     """
+    # deviations from the overall mean, so that sums of squares do not cancel
+    means = df.agg(*[F.avg(v).alias(v) for v in values]).first()
+    df = df.withColumns({v: F.col(v) - F.lit(means[v]) for v in values if means[v] is not None})
     levels = level_moments(df, columns, values).collect()
     blocks: dict[str, list] = {}
     for r in sorted(levels, key=lambda r: (r["metadata"], r["level"])):
@@ -297,8 +287,8 @@ def permuted_effects(
             totals[r["block"]] += [r[f"v{j}"] for j in range(width)]
     out = {}
     for i, c in enumerate(columns):
-        s1 = np.array([sum(r[f"s_{v}"] for r in blocks[c]) for v in values])
-        s2 = np.array([sum(r[f"ss_{v}"] for r in blocks[c]) for v in values])
+        s1 = np.array([sum(r["n"] * r[f"m_{v}"] for r in blocks[c]) for v in values])
+        s2 = np.array([sum(r[f"d_{v}"] + r["n"] * r[f"m_{v}"] ** 2 for r in blocks[c]) for v in values])
         out[c] = np.array([_eta(*acc[(rep, i)], sizes[c], s1, s2).max() for rep in range(permutations)])
     return out
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spectrum import finite
+
 GATHER_BOUND = 20_000
 MAX_KEYS = 200_000
 BINS = 256
@@ -29,11 +31,11 @@ def exact_quantiles(
 ) -> dict[tuple, list[float]]:
     """Linear-interpolation quantiles of ``value`` for every key (keys are axis-sized, not data-sized).
 
-    Returns ``{key tuple: [quantile per prob]}``; null and NaN values are ignored.
+    Returns ``{key tuple: [quantile per prob]}``; values that are not finite are ignored.
     """
     keys, probs = list(keys), list(probs)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
+        finite(F.col("_v"))
     )
     sizes = (
         rows.groupBy(*keys)
@@ -110,10 +112,11 @@ def _refine(rows, keys, probs, sizes, gather_bound):
                 pending.pop(item)
         if not pending:
             break
-        width = F.col("_hi") - F.col("_lo")
-        bin_of = F.least(
-            F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / width * BINS).cast("int")
-        )
+        # halves where the width itself would overflow; the ends fall in different bins, so brackets shrink
+        share = F.when(
+            finite(F.col("_hi") - F.col("_lo")), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        ).otherwise((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2))
+        bin_of = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
         counted = (
             matched(pending)
             .groupBy(*keys, "_lo", "_hi", bin_of.alias("_bin"))
@@ -126,6 +129,8 @@ def _refine(rows, keys, probs, sizes, gather_bound):
         for (key, rank), (lo, hi, below, _) in list(pending.items()):
             for r in sorted(by_bracket[(*key, lo, hi)], key=lambda r: r["_bin"]):
                 if rank < below + r["c"]:
+                    if (r["a"], r["b"]) == (lo, hi):
+                        raise ArithmeticError(f"the bracket from {lo} to {hi} does not shrink")
                     pending[(key, rank)] = (r["a"], r["b"], below, r["c"])
                     break
                 below += r["c"]
@@ -136,6 +141,8 @@ def _refine(rows, keys, probs, sizes, gather_bound):
         for p in probs:
             position = (r["n"] - 1) * p
             low, high = found[(key, math.floor(position))], found[(key, math.ceil(position))]
-            answer.append(low + (high - low) * (position - math.floor(position)))
+            below, above = math.floor(position), math.ceil(position)
+            # as the built-in percentile weighs its two neighbours
+            answer.append(low if low == high else (above - position) * low + (position - below) * high)
         out[key] = answer
     return out

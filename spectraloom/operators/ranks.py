@@ -6,6 +6,7 @@ bucket only needs the count of everything before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -13,42 +14,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 200_000
+#: Up to so many distinct values (some 20 bytes each) the rank table is sent to every executor.
+BROADCAST_VALUES = 500_000
+SALTS = 16
 
 
 def average_rank(
-    df: DataFrame, value: str, out: str, bucket_rows: int = BUCKET_ROWS, at_most: int | None = None
+    df: DataFrame,
+    value: str,
+    out: str,
+    bucket_rows: int = BUCKET_ROWS,
+    at_most: int | None = None,
+    broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Append the 1-based tie-averaged rank of ``value`` over the whole table.
 
+    Null values keep a null rank and don't count; NaN is above every number.  Values are cut
+    into buckets by their double, which never parts equal values, and ranked in their own type.
     ``at_most`` is a known bound on the rows; when it fits one bucket no size pass is needed.
     """
-    distinct = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    distinct = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_v").isNotNull())
     n = at_most if at_most is not None and at_most <= bucket_rows else distinct.count()
     buckets = max(1, -(-n // bucket_rows))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = distinct.approxQuantile("_v", probs, 1.0 / (20 * buckets))
-        splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-        distinct = (
-            Bucketizer(splits=splits, inputCol="_v", outputCol="_b")
-            .transform(distinct.withColumn("_v", F.col("_v").cast("double")))
-            .withColumn("_b", F.col("_b").cast("int"))
-        )
-        totals = distinct.groupBy("_b").agg(F.sum("_c").alias("_t"))
-        # at most n / bucket_rows rows: this window and the broadcast are bounded
-        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-        distinct = distinct.join(F.broadcast(offsets), "_b")
+    doubled = distinct.withColumn("_d", F.col("_v").cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = doubled.approxQuantile("_d", probs, 1.0 / (20 * buckets)) if probs else []
+    splits = [-float("inf"), *sorted({c for c in cuts if math.isfinite(c)}), float("inf")]
+    if len(splits) > 2:
+        cut = Bucketizer(splits=splits, inputCol="_d", outputCol="_b", handleInvalid="keep").transform(doubled)
     else:
-        distinct = distinct.withColumn("_b", F.lit(0)).withColumn("_off", F.lit(0))
+        cut = doubled.withColumn("_b", F.lit(0.0))
+    totals = cut.groupBy("_b").agg(F.sum("_c").alias("_t"))
+    # at most n / bucket_rows rows: this window and the broadcast are bounded
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = distinct.select(
+    ranked = cut.join(F.broadcast(offsets), "_b").select(
         "_v",
         (
             F.col("_off") + F.coalesce(F.sum("_c").over(within), F.lit(0)) + (F.col("_c") + 1) / 2
         ).cast("double").alias(out),
     )
-    return df.join(ranked, df[value] == ranked["_v"]).drop("_v")
+    if n <= broadcast_values:
+        return df.join(F.broadcast(ranked), df[value] == ranked["_v"], "left").drop("_v")
+    # a value may be shared by many rows: its rows are salted, its rank repeated
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    spread = ranked.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    same = (salted[value] == spread["_v"]) & (salted["_s"] == spread["_t"])
+    return salted.join(spread, same, "left").drop("_v", "_s", "_t")
 
 
 def hash_value(key: str, salt: str) -> Column:
@@ -81,7 +94,7 @@ def hash_cuts(
     ).select("x.s", F.coalesce("g", F.lit("")).alias("g"), "x.h")
     n = df.count() if n is None else n
     digits = 0
-    while n / 16**digits > bucket_rows and digits < 4:
+    while n / 16**digits > bucket_rows:
         digits += 1
     prefix = F.substring("h", 1, digits) if digits else F.lit("")
     counted = hashed.groupBy("s", "g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()

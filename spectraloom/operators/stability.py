@@ -36,7 +36,8 @@ DISTANCE_STABLE = 0.70
 GEOMETRY_HIGH, GEOMETRY_MODERATE = 0.75, 0.45
 LOADING_HIGH, LOADING_MODERATE = 0.80, 0.60
 SUBSAMPLE = 0.80
-DISTANCE_BINS = 1 << 16
+#: Steps of the rank table: a distance keeps its leading 16 bits, and finer ones where many are alike.
+DISTANCE_BITS = 16
 
 
 def planes_of(spectra: Spectra, models: Sequence[PcaModel]) -> DataFrame:
@@ -69,8 +70,10 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
     """Spearman correlation of pairwise distances in each plane with those of plane 0.
 
     ``planes`` is ``(id, xy ARRAY<DOUBLE>[2 * width])``, the planes side by side.  Distances are
-    counted on a fixed grid of 65,536 steps between 0 and the largest distance, so ranks come
-    from a bounded table; a second tile pass sums rank products.  No pair leaves its tile.
+    counted by their leading bits, whatever their range; where many share these, a second pass
+    counts by as many further bits as the share asks for.  So a step of the rank table holds about
+    1/65,536 of the pairs at most, unless they are equal to many digits, and an outlier
+    takes one step and no more.  A third pass sums rank products.  No pair leaves its tile.
     """
     blocked = assign_blocks(planes, "id", n, tile_rows)
 
@@ -78,42 +81,56 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
         d = np.sqrt(squared(t.x[t.left, 2 * w : 2 * w + 2], t.x[t.right, 2 * w : 2 * w + 2]))
         return d[np.triu_indices(len(t.left), 1)] if t.same else d.ravel()
 
-    extent = planes.agg(
-        *[f(F.get("xy", F.lit(j))).alias(f"{name}{j}") for j in range(2 * width) for name, f in (("lo", F.min), ("hi", F.max))]
-    ).first()
-    reach = [
-        math.hypot(*[extent[f"hi{2 * w + j}"] - extent[f"lo{2 * w + j}"] for j in (0, 1)]) or 1.0 for w in range(width)
-    ]
+    steps = 1 << DISTANCE_BITS
+
+    def leading(t: Tile, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first bits of every distance, and all of them; both in the order of the distances."""
+        bits = pair_distances(t, w).view(np.uint64)
+        return (bits >> np.uint64(64 - DISTANCE_BITS)).astype(np.int64), bits
+
+    def counted(bins) -> np.ndarray:
+        def count(table: pa.Table) -> pa.Table:
+            t = Tile(table, "xy")
+            ws, bs, cs = [], [], []
+            for w in range(width):
+                used, c = np.unique(bins(t, w), return_counts=True)
+                ws.append(np.full(len(used), w))
+                bs.append(used)
+                cs.append(c)
+            return pa.table(
+                {
+                    "w": pa.array(np.concatenate(ws), pa.int32()),
+                    "b": pa.array(np.concatenate(bs), pa.int32()),
+                    "c": pa.array(np.concatenate(cs), pa.int64()),
+                }
+            )
+
+        parts = group_tiles(blocked, [], count, "w int, b int, c bigint").groupBy("w", "b").agg(F.sum("c").alias("c"))
+        return parts.toPandas().to_numpy(dtype=np.int64)  # at most width x 196,608 rows
+
+    coarse = np.zeros((width, steps))
+    for w, b, c in counted(lambda t, w: leading(t, w)[0]):
+        coarse[w, b] = c
+    share = coarse / np.maximum(coarse.sum(axis=1, keepdims=True), 1) * steps
+    further = np.where(share > 1, np.ceil(np.log2(np.maximum(share, 1))), 0).astype(np.uint64)
+    sizes = np.where(coarse > 0, 2 ** further.astype(np.int64), 1)
+    first = np.cumsum(sizes, axis=1) - sizes
+    table = planes.sparkSession.sparkContext.broadcast((further, first))  # width x 65,536 numbers, twice
 
     def bins(t: Tile, w: int) -> np.ndarray:
-        return np.minimum((pair_distances(t, w) / reach[w] * DISTANCE_BINS).astype(np.int64), DISTANCE_BINS - 1)
-
-    def count(table: pa.Table) -> pa.Table:
-        t = Tile(table, "xy")
-        ws, bs, cs = [], [], []
-        for w in range(width):
-            c = np.bincount(bins(t, w), minlength=1)
-            used = np.flatnonzero(c)
-            ws.append(np.full(len(used), w))
-            bs.append(used)
-            cs.append(c[used])
-        return pa.table(
-            {
-                "w": pa.array(np.concatenate(ws), pa.int32()),
-                "b": pa.array(np.concatenate(bs), pa.int32()),
-                "c": pa.array(np.concatenate(cs), pa.int64()),
-            }
-        )
-
-    counted = group_tiles(blocked, [], count, "w int, b int, c bigint").groupBy("w", "b").agg(F.sum("c").alias("c"))
-    counts = np.zeros((width, DISTANCE_BINS))
-    for r in counted.toPandas().itertuples():  # at most width x 65,536 rows
-        counts[r.w, r.b] = r.c
+        head, bits = leading(t, w)
+        more, start = table.value[0][w][head], table.value[1][w][head]
+        rest = (bits << np.uint64(DISTANCE_BITS)) >> np.uint64(1) >> (np.uint64(63) - more)
+        return start + np.where(more > 0, rest, 0).astype(np.int64)
+
+    counts = np.zeros((width, int(sizes.sum(axis=1).max())))
+    for w, b, c in counted(bins):
+        counts[w, b] = c
     rank = np.cumsum(counts, axis=1) - counts + (counts + 1) / 2.0
     pairs = counts.sum(axis=1)
     centered = rank - (pairs[:, None] + 1) / 2.0
     scale = np.sqrt((counts * centered**2).sum(axis=1))
-    lookup = planes.sparkSession.sparkContext.broadcast(centered)  # width x 65,536 doubles
+    lookup = planes.sparkSession.sparkContext.broadcast(centered)  # width x 196,608 doubles at most
 
     def product(table: pa.Table) -> pa.Table:
         t, ranks = Tile(table, "xy"), lookup.value

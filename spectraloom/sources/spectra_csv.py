@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import csv
 import math
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,33 +76,43 @@ def _text(column: Column) -> Column:
 
 
 def with_row_index(df: DataFrame, out: str = ID) -> DataFrame:
-    """Contiguous 0-based index in file order: per-split offsets plus the position in the split."""
+    """Contiguous 0-based index by file path and place in the file, and whether a row is its file's first.
+
+    ``df`` has the source's ``_file`` and ``_start`` (of the split).  A split's rows keep their order in
+    one partition, so its number of rows places all that follow.
+    """
     place = df.withColumn("_m", F.monotonically_increasing_id())
-    split, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = place.groupBy(split.alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy("s").collect()
-    offsets, total = {}, 0
-    for r in sizes:  # one row per input split
-        offsets[r["s"]] = total
-        total += r["c"]
-    table = df.sparkSession.createDataFrame(list(offsets.items()) or [(0, 0)], "_s bigint, _off bigint")
+    splits = place.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("c"), F.min("_m").alias("low"))
+    offsets, total, last = [], 0, None
+    for r in splits.orderBy("_file", "_start").collect():  # one row per input split
+        offsets.append((r["_file"], r["_start"], total - r["low"], r["low"] if r["_file"] != last else -1))
+        total, last = total + r["c"], r["_file"]
+    table = df.sparkSession.createDataFrame(offsets, "_file string, _start bigint, _off bigint, _top bigint")
     return (
-        place.withColumn("_s", split)
-        .join(F.broadcast(table), "_s")
-        .withColumn(out, F.col("_off") + within)
-        .drop("_m", "_s", "_off")
+        place.join(F.broadcast(table), ["_file", "_start"])
+        .withColumn(out, F.col("_off") + F.col("_m"))
+        .withColumn("_first", F.col("_m") == F.col("_top"))
+        .drop("_m", "_off", "_top")
     )
 
 
-def load_csv(spark: SparkSession, path: str, index: str | None = None) -> Spectra:
-    """Read a spectra CSV; ``index`` names an existing integer key column to use as sample index."""
-    first = spark.read.text(path).limit(2).collect()
-    if not first:
-        raise ValueError("No numeric wavenumber columns detected.")
-    header = _unique(next(csv.reader([first[0]["value"]])))
-    sample = next(csv.reader([first[1]["value"]])) if len(first) > 1 else []
-    raw = spark.read.csv(
-        path, header=True, schema=", ".join(f"c{i} string" for i in range(len(header))), enforceSchema=True
-    )
+@dataclass(frozen=True)
+class Layout:
+    """What the first two lines of a file say: its columns, and which are metadata and axis points."""
+
+    header: tuple[str, ...]
+    marker: bool
+    meta: tuple[tuple[int, str], ...]
+    axis: tuple[tuple[float, int], ...]
+
+    @property
+    def points(self) -> list[float]:
+        return [v for v, _ in self.axis]
+
+
+def layout_of(lines: list[str]) -> Layout:
+    header = _unique(next(csv.reader([lines[0]])))
+    sample = next(csv.reader([lines[1]])) if len(lines) > 1 else []
     marker = bool(sample) and _number(sample[0]) is None and MARKER in sample[0].lower()
     if marker:
         axis = [(i, _number(sample[i]) if i < len(sample) else None) for i in range(AXIS_START, len(header))]
@@ -113,13 +126,70 @@ def load_csv(spark: SparkSession, path: str, index: str | None = None) -> Spectr
         spectral = {i for i, _ in axis}
         meta = [(i, h) for i, h in enumerate(header) if i not in spectral]
     kept = sorted(((v, i) for i, v in axis if v is not None and math.isfinite(v)), key=lambda p: p[0])
-    indexed = with_row_index(raw, "_row") if index is None or marker else raw
-    if marker:
-        indexed = indexed.filter(F.col("_row") > 0).withColumn("_row", F.col("_row") - 1)
-    key = F.col("_row") if index is None else F.col(f"c{dict((h, i) for i, h in meta)[index]}").cast("bigint")
-    df = indexed.select(
-        key.alias(ID),
-        *[_text(F.col(f"c{i}")).alias(name) for i, name in meta if name != ID],
-        F.array(*[_cell(F.col(f"c{i}")) for _, i in kept]).alias(Y),
+    return Layout(tuple(header), marker, tuple(meta), tuple(kept))
+
+
+def layouts_of(spark: SparkSession, path: str) -> dict[Layout, list[str]]:
+    """The files of a path by layout; two lines of each file come to the driver."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    tagged = lines.filter("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    tops = tagged.groupBy("file_path").agg(F.min("at").alias("top")).collect()
+    if not tops:
+        raise ValueError("No numeric wavenumber columns detected.")
+    side = spark.createDataFrame([(r["file_path"], r["top"]) for r in tops], "file_path string, top bigint")
+    heads = (
+        tagged.join(F.broadcast(side), "file_path")
+        .filter("at <= top + 1")
+        .select("file_path", (F.col("at") - F.col("top")).alias("n"), "value")
+        .collect()
     )
-    return Spectra(df, np.array([v for v, _ in kept]))
+    found: dict[str, list[str]] = {}
+    for r in sorted(heads, key=lambda r: (r["file_path"], r["n"])):
+        found.setdefault(r["file_path"], []).append(r["value"])
+    out: dict[Layout, list[str]] = {}
+    for file, first in found.items():
+        out.setdefault(layout_of(first), []).append(file)
+    return out
+
+
+def load_csv(spark: SparkSession, path: str, index: str | None = None) -> Spectra:
+    """Read the spectra of one CSV file, a folder or a pattern; files may order their columns differently.
+
+    Columns are matched by name, metadata that a file lacks is null there, and all files must have
+    the same axis.  ``index`` names an existing integer key column to use as sample index;
+    otherwise rows are numbered by file path and place in the file.
+    """
+    layouts = layouts_of(spark, path)
+    points = next(iter(layouts)).points
+    if any(x.points != points for x in layouts):
+        raise ValueError("The files have different wavenumber axes.")
+    parts = []
+    for at, (layout, files) in enumerate(layouts.items()):
+        names = ", ".join(f"c{i} string" for i in range(len(layout.header)))
+        raw = spark.read.csv(files, header=True, schema=names, enforceSchema=True)
+        read = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+        parts.append(
+            read.select(
+                "_file",
+                "_start",
+                F.lit(layout.marker).alias("_marker"),
+                *[_text(F.col(f"c{i}")).alias(name) for i, name in layout.meta],
+                F.array(*[_cell(F.col(f"c{i}")) for _, i in layout.axis]).alias(Y),
+            )
+        )
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if index is None or any(x.marker for x in layouts):
+        rows = with_row_index(rows, "_row").filter("NOT (_marker AND _first)")
+        # axis rows are no samples: number again without the one before each later row of marker files
+        if any(x.marker for x in layouts):
+            rows = renumbered(rows, sorted((f, x.marker) for x, files in layouts.items() for f in files))
+    key = F.col("_row") if index is None else F.col(f"`{index}`").cast("bigint")
+    meta = [c for c in rows.columns if c not in ("_file", "_start", "_marker", "_first", "_row", ID, Y)]
+    return Spectra(rows.select(key.alias(ID), *[F.col(f"`{c}`") for c in meta], Y), np.array(points))
+
+
+def renumbered(rows: DataFrame, files: list[tuple[str, bool]]) -> DataFrame:
+    """Row numbers less the axis rows of the row's file and of those before it; one line per file."""
+    shift = list(accumulate(int(marker) for _, marker in files))
+    side = rows.sparkSession.createDataFrame([(f, n) for (f, _), n in zip(files, shift)], "_file string, _shift bigint")
+    return rows.join(F.broadcast(side), "_file").withColumn("_row", F.col("_row") - F.col("_shift")).drop("_shift")

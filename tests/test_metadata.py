@@ -131,3 +131,17 @@ def test_classification_measures(spark):
     assert row.balanced_accuracy == pytest.approx(0.5) and row.macro_f1 == pytest.approx((2 / 3 + 0.5 + 0) / 3)
     per = metrics.per_class(metrics.confusion(df, "t", "p")).toPandas().set_index("class")
     assert per.specificity["b"] == pytest.approx(1 / 3) and per.sensitivity_recall["c"] == 0
+
+
+def test_eta_squared_with_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    g = np.repeat(["a", "b"], 50)
+    v = 1e9 + (g == "b") + rng.normal(0, 0.02, 100)
+    df = spark.createDataFrame([(i, str(a), float(x)) for i, (a, x) in enumerate(zip(g, v))], "sample_index bigint, g string, v double")
+    x = v - 1e9
+    want = 50 * sum((x[g == c].mean() - x.mean()) ** 2 for c in "ab") / ((x - x.mean()) ** 2).sum()
+    assert association.eta_squared(df, ["g"], ["v"]).first()["eta_squared"] == pytest.approx(want, abs=1e-6) and want > 0.99
+    null = association.permuted_effects(df, ["g"], ["v"], 30, 1)["g"]
+    assert 0 < null.max() < 0.5
+    flat = df.withColumn("v", F.lit(7.5))
+    assert association.eta_squared(flat, ["g"], ["v"]).first()["eta_squared"] == 0.0

@@ -185,3 +185,18 @@ def test_kmeans_seeds_on_all_rows(spark):
 def test_kmeans_with_fewer_points_than_centres(spark):
     df = spark.createDataFrame([(0, i, [float(i % 2), 1.0]) for i in range(20)], "g int, id bigint, x array<double>")
     assert kmeans.fit(df, [3], 3)[(0, 3)].inertia == 0.0
+
+
+def test_distance_ranks_with_an_outlier(spark):
+    from spectraloom.operators.stability import distance_rank_correlation
+
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(300, 2))
+    b = a + rng.normal(0, 0.3, (300, 2))
+    a[0] = b[0] = 1e6
+    df = spark.createDataFrame([(i, [*map(float, p), *map(float, q)]) for i, (p, q) in enumerate(zip(a, b))], "id bigint, xy array<double>")
+    i, j = np.triu_indices(300, 1)
+    ranks = [pd.Series(np.hypot(*(m[i] - m[j]).T)).rank() for m in (a, b)]
+    want = np.corrcoef(*ranks)[0, 1]
+    got = distance_rank_correlation(df, 300, 2, tile_rows=90)
+    assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(want, abs=1e-5) and want < 0.99

@@ -66,3 +66,28 @@ def test_row_folds(spark, skewed):
     assert (got.groupby("k").fold.value_counts().unstack().T.max() - got.groupby("k").fold.value_counts().unstack().T.min()).max() <= 1
     few = folds.row_folds(spark.range(5).withColumnRenamed("id", "i"), "i", 3, 1).toPandas()
     assert sorted(few.fold.value_counts()) == [1, 2, 2]
+
+
+@pytest.mark.parametrize("bucket_rows,broadcast_values", [(200_000, 500_000), (7, 500_000), (7, 0)])
+def test_ranks_of_big_keys_nulls_and_nan(spark, bucket_rows, broadcast_values):
+    keys = [2**53 + i for i in range(40)] + [2**53 + 3, None, None, -5]
+    df = spark.createDataFrame([(k,) for k in keys], "v bigint").repartition(3)
+    got = average_rank(df, "v", "r", bucket_rows, broadcast_values=broadcast_values).toPandas()
+    want = pd.Series([k for k in keys if k is not None]).rank()
+    assert len(got) == len(keys) and got.r.isna().sum() == 2
+    assert sorted(got.r.dropna()) == sorted(want)
+    floats = [1.5, float("nan"), -float("inf"), float("inf"), 1.5, float("nan"), 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in floats], "v double")
+    got = average_rank(df, "v", "r", 2, broadcast_values=broadcast_values).toPandas()
+    assert sorted(got.r) == [1.0, 2.5, 2.5, 4.5, 4.5, 6.0, 7.5, 7.5]
+
+
+def test_quantiles_ignore_what_is_not_finite(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=500), [np.inf, -np.inf, np.nan, 1e308, -1e308, 5e-324, -5e-324]])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    small, large = (exact_quantiles(df, "v", probs, gather_bound=b)[()] for b in (20_000, 10))
+    finite = v[np.isfinite(v)]
+    assert small == large and small[0] == -1e308 and small[-1] == 1e308
+    assert np.allclose(small[1:4], np.quantile(finite, probs[1:4]))

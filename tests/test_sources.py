@@ -65,3 +65,41 @@ def test_round_trip_over_many_files(spark, tmp_path):
 
 def test_result_dir():
     assert sinks.result_dir("/data/run1.csv") == "/data/run1_results"
+
+
+def _files(tmp_path, texts):
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    return str(tmp_path)
+
+
+def test_files_with_other_column_orders(spark, tmp_path):
+    folder = _files(tmp_path, {
+        "a.csv": "site,400,500,600\nx,1,2,3\n",
+        "b.csv": "600,500,400,batch,site\n30,20,10,B,y\n3,2,1,C,z\n",
+    })
+    s = load_csv(spark, folder)
+    got = by_id(s.df)
+    assert s.axis.tolist() == [400, 500, 600] and got.sample_index.tolist() == [0, 1, 2]
+    assert [list(y) for y in got.y] == [[1, 2, 3], [10, 20, 30], [1, 2, 3]]
+    assert got.site.tolist() == ["x", "y", "z"] and got.batch.tolist() == [None, "B", "C"]
+
+
+def test_several_marker_files(spark, tmp_path):
+    head = "id,Sample,Brand,Grade,City,State,Year,p0,p1\nWavenumber,,,,,,,{},{}\n"
+    folder = _files(tmp_path, {
+        "a.csv": head.format(400, 500) + "r,s1,A,,,,2025,1,2\nr,s2,A,,,,2025,3,4\n",
+        "b.csv": head.format(500, 400) + "r,s3,B,,,,2025,6,5\n",
+        "c.csv": head.format(400, 500) + "r,s4,B,,,,2025,7,8\n",
+    })
+    s = load_csv(spark, folder)
+    got = by_id(s.df)
+    assert got.sample_index.tolist() == [0, 1, 2, 3] and got.Sample.tolist() == ["s1", "s2", "s3", "s4"]
+    assert [list(y) for y in got.y] == [[1, 2], [3, 4], [5, 6], [7, 8]]
+
+
+def test_other_axes_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="axes"):
+        load_csv(spark, _files(tmp_path, {"a.csv": "400,500\n1,2\n", "b.csv": "400,501\n1,2\n"}))
+    with pytest.raises(ValueError, match="No numeric"):
+        load_csv(spark, _files(tmp_path, {"a.csv": "x,y\n1,2\n", "b.csv": "x,y\n1,2\n"}))
