@@ -312,3 +312,49 @@ ORACLE: dict[str, str] = {
         SELECT sample_index, CASE WHEN h = 1 THEN 'high' ELSE 'low' END AS label, round(m + t * q, 6) + 0.0 AS decision_high,
           CASE WHEN m + t * q >= 1 - (m + t * q) THEN 'high' ELSE 'low' END AS prediction FROM t, q""",
 }
+
+# two months per supplier: mean-centred pairs, their covariance, and its eigenvectors in closed form,
+# each with its largest loading positive
+PAIR = f"""{F3S}, p2 AS (
+  SELECT sample_index, max(v) FILTER (pos = 2) AS rx, max(v) FILTER (pos = 3) AS ry FROM f3l GROUP BY sample_index
+), c2 AS (SELECT sample_index, rx - avg(rx) OVER () AS x, ry - avg(ry) OVER () AS y FROM p2
+), v2 AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM c2
+), l2 AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS big FROM v2
+), e2 AS (SELECT big, b / sqrt(b * b + (big - a) * (big - a)) AS u, (big - a) / sqrt(b * b + (big - a) * (big - a)) AS w FROM l2
+), s2 AS (SELECT big, u, w, CASE WHEN abs(u) >= abs(w) THEN sign(u) ELSE sign(w) END AS s1,
+    CASE WHEN abs(w) >= abs(u) THEN sign(-w) ELSE sign(u) END AS s2 FROM e2
+), t2 AS (SELECT sample_index, x, y, big, s1 * u AS lx, s1 * w AS ly,
+    s1 * (x * u + y * w) AS pc1, s2 * (x * -w + y * u) AS pc2 FROM c2, s2
+)"""
+ORACLE |= {
+    "trial_projection": f"WITH {PAIR} SELECT sample_index, round(pc1, 3) + 0.0 AS pc1, round(pc2, 3) + 0.0 AS pc2 FROM t2",
+    "pair_diagnostics": f"""WITH {PAIR} SELECT sample_index, round(pc1 * pc1 / big, 5) + 0.0 AS "Hotelling_T2",
+        round(pc2 * pc2 / 1e6, 5) + 0.0 AS "Q_residual_millions" FROM t2""",
+    "pair_contributions": f"""WITH {PAIR}, k AS (
+        SELECT sample_index, unnest([3.0, 4.0])::DOUBLE AS wavenumber, unnest([lx, ly]) AS l, unnest([x - pc1 * lx, y - pc1 * ly]) AS r,
+            pc1 / sqrt(big) AS z, greatest(pow(pc1 * lx, 2), pow(pc1 * ly, 2)) / big AS top FROM t2)
+        SELECT sample_index, wavenumber, round(z * l, 5) + 0.0 AS "T2_signed_direction",
+            round(z * l * z * l / greatest(top, 1e-12), 5) + 0.0 AS "T2_scaled", round(r * r / 1e6, 5) + 0.0 AS "Q_millions" FROM k""",
+    "lloyd_to_convergence": f"""WITH RECURSIVE {F3S}, p2 AS (
+        SELECT sample_index, max(v) FILTER (pos = 2) AS x, max(v) FILTER (pos = 3) AS y FROM f3l GROUP BY sample_index),
+        k(step, centers) AS (
+            SELECT 0, (SELECT list({{'x': x, 'y': y}} ORDER BY sample_index) FROM (SELECT * FROM p2 ORDER BY sample_index LIMIT 3))
+            UNION ALL
+            SELECT step + 1, (SELECT list({{'x': mx, 'y': my}} ORDER BY g) FROM (
+                SELECT g, avg(x) AS mx, avg(y) AS my FROM (
+                    SELECT x, y, list_position(d, list_min(d)) AS g FROM (
+                        SELECT x, y, list_transform(centers, lambda c: (x - c.x) * (x - c.x) + (y - c.y) * (y - c.y)) AS d FROM p2)) GROUP BY g))
+            FROM k WHERE step < 200)
+        SELECT sample_index, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster FROM (
+            SELECT sample_index, list_transform(centers, lambda c: (x - c.x) * (x - c.x) + (y - c.y) * (y - c.y)) AS d
+            FROM p2, (SELECT centers FROM k ORDER BY step DESC LIMIT 1))""",
+    "ward_energy": """WITH p AS (SELECT avg(l_quantity) AS x, avg(l_extendedprice) / 1000.0 AS y FROM lineitem
+            GROUP BY l_suppkey, l_returnflag, l_linestatus)
+        SELECT count(*) - 1 AS merges, round(var_pop(x) * count(*) + var_pop(y) * count(*), 4) AS energy FROM p""",
+    "validation_defaults": """WITH g AS (SELECT label, count(DISTINCT concat(vec_id % 8, '|', vec_id % 5)) AS n FROM embeddings GROUP BY label),
+        m AS (SELECT min(n) AS least FROM g WHERE n >= 2), r AS (SELECT count(*) AS n FROM embeddings)
+        SELECT unnest(['min_groups', 'outer_folds', 'inner_folds', 'neighbors', 'components', 'max_components']) AS setting,
+            unnest([greatest(2, least(3, least)), greatest(2, least(5, least)), greatest(2, least(3, greatest(2, least - 1))),
+                greatest(5, least(40, CAST(round_even(2 * sqrt(greatest(4, n)), 0) AS BIGINT))),
+                greatest(3, least(20, least(n - 2, 64))), greatest(2, least(25, least(n - 2, 64)))])::BIGINT AS value FROM m, r""",
+}

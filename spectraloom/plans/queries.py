@@ -43,7 +43,7 @@ from ..sources.tables import (
 )
 from ..spectra import ID, Y, Spectra
 from ..streaming import scoring
-from . import audit, guided, nested, selection
+from . import audit, guided, nested, review, selection
 
 EXCLUSION = "500-800,700-1000; 1550-1600"
 ORDER_COLUMNS = ["o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name", "r_name"]
@@ -633,6 +633,76 @@ def permutation_null(spark, folder):
     return spark.createDataFrame(rows, "permutation int, balanced_accuracy double, p_value double")
 
 
+PAIR = [Step("Range", {"minimum": 3.0, "maximum": 4.0}), Step("Mean center")]
+
+
+def _pair(spark, folder) -> Spectra:
+    """The suppliers' profiles; two months of them have a projection in closed form."""
+    return supplier_spectra(spark, folder)
+
+
+def trial_projection(spark, folder):
+    """A history row as exported, projected again."""
+    row = {"model": "Random Forest", "use_pca": "True", "pcs": 2.0, "recipe": recipe.to_json(PAIR)}
+    found = review.trial_projection(_pair(spark, folder), row)
+    return rounded(
+        found.scores.select(ID, F.get("scores", F.lit(0)).alias("pc1"), F.get("scores", F.lit(1)).alias("pc2")),
+        "pc1", "pc2", digits=3,
+    )
+
+
+def pair_diagnostics(spark, folder):
+    s = _pair(spark, folder)
+    scored = fit_pca(s, PAIR, 1).scored(s)
+    return rounded(
+        scored.select(ID, "Hotelling_T2", (F.col("Q_residual") / 1e6).alias("Q_residual_millions")),
+        "Hotelling_T2", "Q_residual_millions", digits=5,
+    )
+
+
+def pair_contributions(spark, folder):
+    s = _pair(spark, folder)
+    found = contributions(fit_pca(s, PAIR, 1), s)
+    return rounded(
+        found.select(ID, "wavenumber", "T2_signed_direction", "T2_scaled", (F.col("Q_contribution") / 1e6).alias("Q_millions")),
+        "T2_signed_direction", "T2_scaled", "Q_millions", digits=5,
+    )
+
+
+def lloyd_to_convergence(spark, folder):
+    """Labels once given centres, the first three suppliers, no longer move."""
+    points = recipe.apply_recipe(_pair(spark, folder), PAIR[:1])[0].df
+    rows = points.select(F.lit(0).alias("g"), F.col(ID).alias("id"), F.col(Y).alias("x"))
+    first = rows.orderBy("id").limit(3).collect()
+    start = kmeans.Start(0, 3, np.array([r["x"] for r in first]))
+    while not start.done:
+        kmeans.lloyd_pass(rows, [start], 2)
+    return points.select(ID, F.get(kmeans.assign(Y, [start.centers]), F.lit(0)).alias("cluster"))
+
+
+def ward_energy(spark, folder):
+    """Merges and half the squared heights of a whole hierarchy, over more rows than its tail."""
+    points = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_suppkey", "l_returnflag", "l_linestatus")
+        .agg(F.array(F.avg("l_quantity"), F.avg("l_extendedprice") / 1000.0).alias("x"))
+        .select((F.col("l_suppkey") * 100 + F.ascii("l_returnflag") % 10 * 10 + F.ascii("l_linestatus") % 10).alias(ID), "x")
+    )
+    points = durable(points)
+    merges = ward(points, "x", points.count()).linkage()
+    return rounded(
+        merges.agg(F.count(F.lit(1)).alias("merges"), (F.sum(F.col("height") * F.col("height")) / 2.0).alias("energy")),
+        "energy", digits=4,
+    )
+
+
+def validation_defaults(spark, folder):
+    s = embedding_spectra(spark, folder)
+    found = review.validation_defaults(metadata.eligibility(s.df, "class_label", ["site", "batch"], 2).filter("eligible"))
+    found |= {k: v for k, v in review.dataset_defaults(s.df.count(), s.width).items() if k != "min_distance"}
+    return spark.createDataFrame(sorted(found.items()), "setting string, value bigint")
+
+
 def stream_diagnostics(spark, folder):
     """The embedding table read as a stream of files and scored by a frozen model."""
     s = embedding_spectra(spark, folder)
@@ -662,6 +732,7 @@ QUERIES = {
         pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
         cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
         spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics,
+        trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
     )
 }
 QUERIES.update(
