@@ -11,6 +11,8 @@ def to_matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> n
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if column.null_count:
+        raise ValueError("A sample has no spectrum.")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if n == 0:
         return flat.reshape(0, width or 0)

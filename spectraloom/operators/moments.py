@@ -24,6 +24,10 @@ from .recipe import Chain
 
 PIECE = 16_384
 MAX_WIDTH = 8_192
+#: Bytes of Gram matrices that a task and the driver hold at once; more take further scans.
+GRAM_BYTES = 1 << 30
+#: Up to so many keys are taken for granted before they are counted.
+FREE_KEYS = 64
 
 
 @dataclass
@@ -60,8 +64,9 @@ def accumulate(
     y: str = Y,
     side: str | None = None,
     side_width: int = 0,
+    budget: int = GRAM_BYTES,
 ) -> dict[tuple[int, int], Moments]:
-    """Moments of every chain's output per integer ``key`` in a single scan.
+    """Moments of every chain's output per integer ``key``, in a single scan while they fit ``budget``.
 
     ``key`` may also be an ``array<int>`` column: the row then counts under each of its keys
     (subsamples, for example) without being copied; null entries are skipped.  ``side`` names an optional second array column (class indicators) appended to each row,
@@ -78,6 +83,42 @@ def accumulate(
     if side:
         columns.append(F.col(side).alias("_side"))
 
+    rows = df.select(*columns)
+    capacity = max(1, budget // (8 * (max(widths) + 1) ** 2))
+    everything = range(len(chains))
+    if key is None or capacity >= len(chains) * FREE_KEYS:
+        shares = [(everything, None)] if key or capacity >= len(chains) else [
+            (everything[at : at + capacity], None) for at in range(0, len(chains), capacity)
+        ]
+    else:
+        named = rows.select(F.explode("_k") if many else F.col("_k")).distinct().collect()
+        keys = sorted(r[0] for r in named if r[0] is not None)
+        per_scan = min(len(keys), capacity) or 1
+        at_once = max(1, capacity // per_scan)
+        shares = [
+            (everything[c : c + at_once], frozenset(keys[k : k + per_scan]))
+            for c in range(0, len(chains), at_once)
+            for k in range(0, len(keys), per_scan)
+        ]
+    out: dict[tuple[int, int], Moments] = {}
+    for chosen, wanted in shares:
+        out |= _scan(rows, chains, pivots, widths, many, side_width, chosen, wanted)
+    return out
+
+
+def _scan(
+    rows: DataFrame,
+    chains: Sequence[Chain],
+    pivots: Sequence[np.ndarray],
+    widths: Sequence[int],
+    many: bool,
+    side_width: int,
+    chosen: range,
+    wanted: frozenset[int] | None,
+) -> dict[tuple[int, int], Moments]:
+    """The moments of some chains and keys (all if None)."""
+    side = len(rows.columns) > 2
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -86,13 +127,15 @@ def accumulate(
             raw = to_matrix(batch.column(0))
             keys = to_matrix(batch.column(1)) if many else batch.column(1).to_numpy(zero_copy_only=False)[:, None]
             extra = to_matrix(batch.column(2), side_width) if side else None
-            for c, chain in enumerate(chains):
-                z = chain.apply(raw) - pivots[c]
+            for c in chosen:
+                z = chains[c].apply(raw) - pivots[c]
                 if extra is not None:
                     z = np.hstack([z, extra])
                 z = np.hstack([z, np.ones((len(z), 1))])
                 for codes in keys.T:
                     for k in np.unique(codes[np.isfinite(codes)]):
+                        if wanted is not None and k not in wanted:
+                            continue
                         part = z[codes == k]
                         piece = part.T @ part
                         at = (c, int(k))
@@ -114,17 +157,19 @@ def accumulate(
                     names=["c", "k", "piece", "v"],
                 )
 
-    pieces = df.select(*columns).mapInArrow(fold, "c int, k int, piece int, v array<double>")
+    pieces = rows.mapInArrow(fold, "c int, k int, piece int, v array<double>")
     summed = (
         pieces.select("c", "k", "piece", array_to_vector("v").alias("v"))
         .groupBy("c", "k", "piece")
         .agg(Summarizer.sum(F.col("v")).alias("v"))
         .select("c", "k", "piece", vector_to_array("v").alias("v"))
-        .collect()
+        .toArrow()
     )
-    packed: dict[tuple[int, int], dict[int, list]] = {}
-    for r in summed:
-        packed.setdefault((r["c"], r["k"]), {})[r["piece"]] = r["v"]
+    packed: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+    for batch in summed.to_batches():
+        c, k, piece = (batch.column(i).to_pylist() for i in range(3))
+        for i in range(batch.num_rows):
+            packed.setdefault((c[i], k[i]), {})[piece[i]] = batch.column(3)[i].values.to_numpy()
     out = {}
     for (c, k), parts in packed.items():
         size = widths[c] + 1

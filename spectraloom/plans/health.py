@@ -96,8 +96,8 @@ def predictive_subscores(balanced_accuracy: float, classes: int, fold_scores: Se
             ("Predictive held-out performance", round(100 * lifted), f"balanced accuracy {balanced_accuracy:.3f}, chance {chance:.3f}")
         )
     folds = [f for f in fold_scores if _known(f)]
-    if len(folds) > 1:
-        sd = float(pd.Series(folds).std(ddof=1))
+    if folds:  # one fold has no spread
+        sd = float(pd.Series(folds).std(ddof=1)) if len(folds) > 1 else 0.0
         rows.append(("Predictive fold stability", _at_most(sd, FOLD_SD_STEPS, FOLD_SD_ELSE), f"fold sd {sd:.3f}"))
     if _known(gap):
         rows.append(("Train-to-held-out gap", _at_most(gap, GAP_STEPS, GAP_ELSE), f"gap {gap:.3f}"))

@@ -327,6 +327,11 @@ PAIR = f"""{F3S}, p2 AS (
     s1 * (x * u + y * w) AS pc1, s2 * (x * -w + y * u) AS pc2 FROM c2, s2
 )"""
 ORACLE |= {
+    "metadata_gaps": """SELECT unnest(['class_label', 'site', 'batch']) AS "column",
+        unnest([count(*) FILTER (label IS NULL), count(*) FILTER (label IS NULL OR label = 3), count(*) FILTER (vec_id % 7 = 0)]) AS missing
+        FROM embeddings""",
+    "select_keys": """SELECT vec_id AS sample_index, CAST(label AS VARCHAR) AS class_label FROM embeddings
+        WHERE vec_id < 200 AND NOT vec_id BETWEEN 50 AND 99""",
     "trial_projection": f"WITH {PAIR} SELECT sample_index, round(pc1, 3) + 0.0 AS pc1, round(pc2, 3) + 0.0 AS pc2 FROM t2",
     "pair_diagnostics": f"""WITH {PAIR} SELECT sample_index, round(pc1 * pc1 / big, 5) + 0.0 AS "Hotelling_T2",
         round(pc2 * pc2 / 1e6, 5) + 0.0 AS "Q_residual_millions" FROM t2""",

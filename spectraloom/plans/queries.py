@@ -106,6 +106,20 @@ def load_summary(spark, folder):
     ).select("*", F.lit(float(s.axis.min())).alias("axis_min"), F.lit(float(s.axis.max())).alias("axis_max"))
 
 
+def metadata_gaps(spark, folder):
+    """Null counts of metadata columns, two of which have gaps."""
+    s = embedding_spectra(spark, folder)
+    gappy = s.df.withColumn("batch", F.when(F.col(ID) % 7 != 0, F.col("batch"))).withColumn(
+        "site", F.when(F.col("class_label") != "3", F.col("site"))
+    )
+    return Spectra(gappy, s.axis, ("class_label", "site", "batch")).metadata_gaps()
+
+
+def select_keys(spark, folder):
+    s = embedding_spectra(spark, folder)
+    return s.select_keys(range(0, 200), range(50, 100)).df.select(ID, "class_label")
+
+
 def csv_round_trip(spark, folder):
     target = f"{shared_folder(spark).rstrip('/')}/spectra-{uuid.uuid4().hex}"
     write_spectra(supplier_spectra(spark, folder), target)
@@ -628,7 +642,10 @@ def nested_audit(spark, folder):
 def permutation_null(spark, folder):
     s = _two_class(spark, folder)
     group = metadata.group_key(s.df, ["site", "batch"])
-    test = nested.permutation_test(s, "half", 0.5, permutations=2, trials=1, group=group, outer_folds=2)
+    # the observed value comes from an audit of the same rows with the same settings
+    settings = {"trials": 3, "group": group, "outer_folds": 2}
+    observed = nested.nested_audit(s, "half", max_pcs=15, **settings).balanced_accuracy
+    test = nested.permutation_test(s, "half", observed, permutations=2, **settings)
     rows = [(i, float(v), test.p_value) for i, v in enumerate(test.scores)]
     return spark.createDataFrame(rows, "permutation int, balanced_accuracy double, p_value double")
 
@@ -732,7 +749,7 @@ QUERIES = {
         pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
         cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
         spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics,
-        trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
+        metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
     )
 }
 QUERIES.update(

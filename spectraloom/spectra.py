@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -94,6 +95,25 @@ class Spectra:
         hit = text.contains(query.lower())
         return self.filter(hit if include else ~hit)
 
+    def select_keys(
+        self, include: Sequence[int] | None = None, exclude: Sequence[int] = (), least: int = 2
+    ) -> Spectra:
+        """Rows by sample index: those of ``include`` (all if None) less those of ``exclude``.
+
+        An analysis needs rows to compare, so fewer than ``least`` are an error.
+        """
+        kept = self if include is None else self.filter(F.col(ID).isin(list(include)))
+        kept = kept.filter(~F.col(ID).isin(list(exclude))) if exclude else kept
+        if kept.df.limit(least).count() < least:
+            raise ValueError(f"At least {least} samples must remain selected.")
+        return kept
+
+    def metadata_gaps(self) -> DataFrame:
+        """``(column, missing)``: null counts of all metadata columns, in one pass."""
+        counts = self.df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in self.meta])
+        named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("missing")) for c in self.meta])
+        return counts.select(F.inline(named))
+
     def profile(self) -> Profile:
         """One pass: row count, rows with gaps, and the first sample as numeric pivot."""
         row = self.df.agg(

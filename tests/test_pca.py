@@ -136,3 +136,22 @@ def test_regions_are_on_axis_and_merge_neighbours(spark):
         (10.0, 13.0, 11.0, "positive"), (40.0, 41.0, 40.0, "negative"),
     ]
     assert len(regions.high_regions(df, "PC", "loading", axis, quantile=0.95, top=1).collect()) == 1
+
+
+def test_moments_split_into_scans_by_memory(spark):
+    from pyspark.sql import functions as F
+
+    from spectraloom.operators.moments import accumulate
+    from spectraloom.operators.pca import stateless
+
+    rng = np.random.default_rng(8)
+    s = spectra_of(spark, rng.normal(size=(60, 12)), np.arange(12.0))
+    chains = [stateless(s.axis, []), stateless(s.axis, [])]
+    pivots = [np.zeros(12), np.ones(12)]
+    df = s.df.withColumn("key", (F.col("sample_index") % 5).cast("int"))
+    df = df.withColumn("keys", F.array(F.col("key"), F.lit(7)))
+    for key in (None, "key", "keys"):
+        whole = accumulate(df, chains, pivots, key=key)
+        split = accumulate(df, chains, pivots, key=key, budget=3 * 8 * 13 * 13)
+        assert whole.keys() == split.keys() and len(whole) == 2 * {None: 1, "key": 5, "keys": 6}[key]
+        assert all(np.allclose(whole[k].gram, split[k].gram) and whole[k].n == split[k].n for k in whole)
