@@ -109,3 +109,31 @@ def test_exclusion_and_selection(spark):
         s.exclude("0-4")
     assert list(by_id(s.select_rows("B b").df).sample_index) == [1, 3]
     assert list(by_id(s.select_rows("b B", include=False).df).sample_index) == [0, 2]
+
+
+def test_recipe_as_pipeline_stage(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from spectraloom.operators.recipe_stage import RecipeEstimator
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 6))
+    x[3, 2] = np.nan
+    s = spectra_of(spark, x, np.arange(400.0, 406.0))
+    steps = [Step("Range", {"minimum": 401.0, "maximum": 405.0}), Step("SNV"), Step("Autoscale")]
+    model = Pipeline(stages=[RecipeEstimator.of(s.axis, steps, outputCol="z")]).fit(s.df)
+    want = recipe.fit_recipe(s, steps).transform(s).df.orderBy("sample_index").collect()
+    model.write().overwrite().save(str(tmp_path / "m"))
+    for m in (model, PipelineModel.load(str(tmp_path / "m"))):
+        got = m.transform(s.df).orderBy("sample_index").collect()
+        assert np.allclose([r["z"] for r in got], [r["y"] for r in want]) and m.stages[0].fitted().axis.tolist() == [401, 402, 403, 404, 405]
+
+
+def test_infinite_cells_are_missing(spark):
+    x = np.arange(30.0).reshape(6, 5)
+    x[1, 2], x[2, 2] = np.inf, -np.inf
+    s = spectra_of(spark, x, np.arange(5.0))
+    assert s.profile().incomplete == 2
+    filled = recipe.fit_recipe(s, [Step("Range", {"minimum": 0.0, "maximum": 4.0})]).transform(s)
+    got = np.array([r["y"] for r in filled.df.orderBy("sample_index").collect()])
+    assert np.isfinite(got).all() and got[1, 2] == np.median([2.0, 17.0, 22.0, 27.0])
