@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import alnum_words
+from .text import alnum_words, spare
 
 WINDOW = 13
 GRAM = 5
@@ -209,12 +209,12 @@ def _items(equal: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that are not contaminated, all columns and repeated rows kept."""
+    doc_id, text_hash = spare(docs, "dirty_id", "dirty_hash")
     dirty = (
         contamination(docs, benchmark, **settings)
         .filter("contaminated")
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        .select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash))
         .distinct()
     )
-    return docs.join(
-        dirty, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti"
-    )
+    same = docs["doc_id"].eqNullSafe(F.col(doc_id)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
+    return docs.join(dirty, same, "left_anti")

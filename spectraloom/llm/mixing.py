@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import BLANK
+from .text import BLANK, spare
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -128,23 +128,25 @@ def resampled(docs: DataFrame, **settings) -> DataFrame:
 
     Rows with equal id and text share out their copies: such rows are told apart by nothing.
     """
+    doc_id, text_hash, source, copies, rows, own, place = spare(
+        docs, "mixed_id", "mixed_hash", "mixed_source", "mixed_copies", "mixed_rows", "mixed_own", "mixed_place"
+    )
     taken = written(
         mixed(docs, **settings)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"))
-        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-        .filter("__copies > 0")
+        .groupBy(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), F.col("source").alias(source))
+        .agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+        .filter(F.col(copies) > 0)
     )
-    keyed = docs.withColumn("__h", F.md5("text"))
+    keyed = docs.withColumn(own, F.md5("text"))
     same = (
-        keyed["doc_id"].eqNullSafe(F.col("__id"))
-        & (keyed["__h"] == F.col("__hash"))
-        & keyed["source"].eqNullSafe(F.col("__source"))
+        keyed["doc_id"].eqNullSafe(F.col(doc_id))
+        & (keyed[own] == F.col(text_hash))
+        & keyed["source"].eqNullSafe(F.col(source))
     )
     joined = keyed.join(taken, same)
-    if taken.filter("__rows > 1").limit(1).count():
-        one = Window.partitionBy("doc_id", "__h", "source").orderBy(F.lit(1))
-        repeated = joined.filter("__rows > 1").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-        joined = joined.filter("__rows = 1").unionByName(repeated)
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__i")
-    ).drop("__i")
+    if taken.filter(F.col(rows) > 1).limit(1).count():
+        one = Window.partitionBy("doc_id", own, "source").orderBy(F.lit(1))
+        repeated = joined.filter(F.col(rows) > 1).withColumn(place, F.row_number().over(one))
+        joined = joined.filter(F.col(rows) == 1).unionByName(repeated.filter(F.col(place) == 1).drop(place))
+    times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(place)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop(place)

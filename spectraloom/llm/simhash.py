@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .text import byte_texts, pieces
+from .text import byte_texts, pieces, spare
 
 SHINGLE = 4
 BITS = 4
@@ -287,13 +287,14 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     best = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "copies"), order).alias("best"))
+    doc_id, text_hash, copies, place = spare(docs, "kept_id", "kept_hash", "kept_copies", "kept_place")
     chosen = best.select(
-        F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"), F.col("best.copies").alias("__copies")
+        F.col("best.doc_id").alias(doc_id), F.col("best.text_hash").alias(text_hash), F.col("best.copies").alias(copies)
     )
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
-    single = kept.filter("__copies = 1")
-    if chosen.filter("__copies > 1").limit(1).count():
-        one = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
-        repeated = kept.filter("__copies > 1").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-        single = single.unionByName(repeated)
-    return single.select(*docs.columns)
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col(doc_id)) & (F.xxhash64(docs["text"]) == F.col(text_hash)))
+    single = kept.filter(F.col(copies) == 1)
+    if chosen.filter(F.col(copies) > 1).limit(1).count():
+        one = Window.partitionBy("doc_id", text_hash).orderBy(F.lit(1))
+        repeated = kept.filter(F.col(copies) > 1).withColumn(place, F.row_number().over(one))
+        single = single.unionByName(repeated.filter(F.col(place) == 1).drop(place))
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns])

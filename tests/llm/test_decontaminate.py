@@ -75,7 +75,7 @@ def test_empty_tables(spark, docs_of, items_of):
 
 
 def test_stage_keeps_clean_rows_and_columns(spark, docs_of, items_of):
-    df = docs_of(docs(), "'k' AS __hash2")
+    df = docs_of(docs(), "'k' AS dirty_hash")
     kept = D.keep_clean(df, items_of(ITEMS))
     dirty = {i for i, t in docs() if brute(t, ITEMS)[4]}
     assert kept.columns == df.columns

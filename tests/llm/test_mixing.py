@@ -62,7 +62,7 @@ def test_caps(spark, docs_of, sizes):
 
 def test_resampled_rows(spark, docs_of):
     rows = corpus(300)
-    df = docs_of(rows, "'c' AS __n2")
+    df = docs_of(rows, "'c' AS mixed_hash")
     copies = {}
     for r in rows_of(mixing.mixed(df)):
         key = (r["doc_id"], r["source"])

@@ -92,11 +92,11 @@ def test_links_do_not_grow_with_pairs(spark):
 def test_keep_one(spark, docs_of):
     text = "the quick brown fox jumps over the lazy dog again and again " * 30
     rows = [(4, text), (2, text), (2, text), (None, text), (7, "other words here"), (None, "alone at last"), (9, None), (8, "")]
-    kept = simhash.keep_one(docs_of(rows, "'x' AS __hash2"))
+    kept = simhash.keep_one(docs_of(rows, "'x' AS Kept_id"))
     assert sorted(((r["doc_id"], r["text"]) for r in rows_of(kept)), key=str) == sorted(
         [(2, text), (7, "other words here"), (None, "alone at last"), (8, "")], key=str
     )
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "__hash2"]
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "Kept_id"]
 
 
 def test_empty(spark, docs_of):
