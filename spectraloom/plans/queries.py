@@ -643,7 +643,7 @@ def permutation_null(spark, folder):
     s = _two_class(spark, folder)
     group = metadata.group_key(s.df, ["site", "batch"])
     # the observed value comes from an audit of the same rows with the same settings
-    settings = {"trials": 3, "group": group, "outer_folds": 2}
+    settings = {"trials": 1, "group": group, "outer_folds": 2}
     observed = nested.nested_audit(s, "half", max_pcs=15, **settings).balanced_accuracy
     test = nested.permutation_test(s, "half", observed, permutations=2, **settings)
     rows = [(i, float(v), test.p_value) for i, v in enumerate(test.scores)]
