@@ -78,3 +78,27 @@ def test_stage_returns_the_documents_columns(spark, docs_of, sample_texts):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in rows_of(kept)) == ["1", "1", "None"]
     assert all(r["kept"] is False and r["text"] == good for r in rows_of(kept))
+
+
+REAL = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should "
+    "act towards one another in a spirit of brotherhood. Everyone is entitled to all the rights and freedoms set forth in this "
+    "Declaration, without distinction of any kind, such as race, colour, sex, language, religion, political or other opinion, "
+    "national or social origin, property, birth or other status.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen "
+    "einander im Geist der Brüderlichkeit begegnen. Jeder hat das Recht auf Leben, Freiheit und Sicherheit der Person. Niemand "
+    "darf der Folter oder grausamer, unmenschlicher oder erniedrigender Behandlung oder Strafe unterworfen werden. Jeder hat das "
+    "Recht, überall als rechtsfähig anerkannt zu werden.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et "
+    "doivent agir les uns envers les autres dans un esprit de fraternité. Tout individu a droit à la vie, à la liberté et à la "
+    "sûreté de sa personne. Nul ne sera tenu en esclavage ni en servitude.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben "
+    "comportarse fraternalmente los unos con los otros. Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de "
+    "su persona. Nadie estará sometido a esclavitud ni a servidumbre.",
+}
+
+
+def test_real_prose_is_kept(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate([*REAL.items(), (None, REAL["en"])])]
+    got = rows_of(quality.measures(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert len(got) == 5 and all(r["kept"] and r["chars_per_token"] > 3.3 for r in got), got
