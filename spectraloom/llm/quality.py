@@ -2,7 +2,8 @@
 
 A text is measured by its tokens in a public byte-level vocabulary (``vocabulary``, a path):
 characters per token, the share of tokens that are parts of characters (byte fallback), and the
-entropy of its tokens, divided by the logarithm of their number.  Prose of a language that the
+entropy of its tokens, divided by the logarithm of their number or of ``ENTROPY_TOKENS``, whichever is
+less: entropy stops growing with the text, so the divisor must, too.  Prose of a language that the
 vocabulary knows stays inside a band of each; symbol runs, machine strings and repetition
 leave it.  Bands are given per language, and per script for texts of another or no language.
 
@@ -28,6 +29,8 @@ from .text import pieces
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: From this many tokens on a text's entropy is compared with a fixed number of bits.
+ENTROPY_TOKENS = 8_192
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,7 @@ def fertility(text: str | None, encode, fallback: np.ndarray) -> tuple[int, floa
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
     share = np.unique(ids, return_counts=True)[1] / len(ids)
-    entropy = float(-(share * np.log2(share)).sum() / np.log2(max(2, len(ids))))
+    entropy = float(-(share * np.log2(share)).sum() / np.log2(min(max(2, len(ids)), ENTROPY_TOKENS)))
     return len(ids), len(text) / len(ids), float(fallback[ids].mean()), entropy
 
 

@@ -102,3 +102,18 @@ def test_real_prose_is_kept(spark):
     rows = [(i, text, lang) for i, (lang, text) in enumerate([*REAL.items(), (None, REAL["en"])])]
     got = rows_of(quality.measures(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
     assert len(got) == 5 and all(r["kept"] and r["chars_per_token"] > 3.3 for r in got), got
+
+
+def test_long_clean_prose_is_kept_and_long_junk_not(spark):
+    docs = duckdb.sql(
+        "SELECT lang, quality, text FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' "
+        "USING (doc_id) WHERE lang IN ('en', 'de', 'fr', 'es') ORDER BY doc_id"
+    ).fetchall()
+    rows = []
+    for lang in ("en", "de", "fr", "es"):
+        prose = list(dict.fromkeys(t for g, q, t in docs if g == lang and q == 1))
+        rows.append((len(rows), "\n".join(prose)[:400_000], lang))
+    rows.append((4, max((t for g, q, t in docs if q == 0), key=len), "en"))
+    got = {r["doc_id"]: r for r in rows_of(quality.measures(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))}
+    assert all(got[i]["kept"] and got[i]["n_tokens"] > 100_000 for i in range(4)), got
+    assert not got[4]["base_failed"] and not got[4]["kept"] and got[4]["token_entropy"] < 0.45
