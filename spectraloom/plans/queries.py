@@ -642,10 +642,10 @@ def nested_audit(spark, folder):
 def permutation_null(spark, folder):
     s = _two_class(spark, folder)
     group = metadata.group_key(s.df, ["site", "batch"])
-    # the observed value comes from an audit of the same rows with the same settings
-    settings = {"trials": 1, "group": group, "outer_folds": 2}
-    observed = nested.nested_audit(s, "half", max_pcs=15, **settings).balanced_accuracy
-    test = nested.permutation_test(s, "half", observed, permutations=2, **settings)
+    # the observed value comes from an audit of the same rows with the settings of the test
+    settings = {"group": group, "trials": nested.PERMUTATION_TRIALS, "max_pcs": nested.PERMUTATION_PCS}
+    observed = nested.nested_audit(s, "half", **settings).balanced_accuracy
+    test = nested.permutation_test(s, "half", observed, **settings)
     rows = [(i, float(v), test.p_value) for i, v in enumerate(test.scores)]
     return spark.createDataFrame(rows, "permutation int, balanced_accuracy double, p_value double")
 
