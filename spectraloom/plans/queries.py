@@ -635,7 +635,7 @@ def _two_class(spark, folder) -> Spectra:
 
 def nested_audit(spark, folder):
     s = _two_class(spark, folder)
-    result = nested.nested_audit(s, "half", metadata.group_key(s.df, ["site", "batch"]), trials=3, outer_folds=2)
+    result = nested.nested_audit(s, "half", metadata.group_key(s.df, ["site", "batch"]))
     return result.family_oof
 
 
