@@ -14,7 +14,8 @@ replaced and the pieces joined again.  Nothing is shuffled; texts without a digi
 Kinds: ``card`` (13 to 19 digits, Luhn), ``iban`` (mod 97), ``ssn``, ``phone`` (ten digits after an
 optional country code, which stays), ``ip`` (octets to 255), ``date`` (real days: year-month-day,
 or day and month in either order before the year, with ``/`` or ``.``), ``email`` (the local part;
-the domain stays), ``secret`` (32 to 64 hexadecimal digits with both letters and decimals).
+the domain stays), ``secret`` (32 to 64 hexadecimal digits with both letters and decimals, the letters all
+small or all capital; the case stays, and both cases of a value get the same digits).
 
 Edge cases: a null text stays null; what fails validation stays as it is; repeated rows get equal
 results; an empty table gives an empty one; other columns are not read.
@@ -33,7 +34,7 @@ KEY = "spectraloom demonstration key"
 #: Kind, pattern and the characters that may not stand before and after it.
 KINDS = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![A-Za-z0-9._%+-])", ""),
-    "secret": (r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}", r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"),
+    "secret": (r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,64}", r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"),
     "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"),
     "date": (r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}", r"(?<![0-9A-Za-z./-])", r"(?![0-9A-Za-z]|[./-][0-9])"),
     "ip": (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?<![0-9A-Za-z]|[0-9]\.)", r"(?![0-9A-Za-z]|\.[0-9])"),
@@ -264,9 +265,14 @@ def _email(text: Column, key: str) -> Column:
     return F.concat(_letters(local, "email", key), F.substring(text, F.length(local) + 1, F.length(text)))
 
 
+def _secret(text: Column, key: str) -> Column:
+    cased = lambda new: F.when(text.rlike("[A-F]"), F.upper(new)).otherwise(new)
+    return let(_letters(F.lower(text), "secret", key, hexadecimal=True), cased)
+
+
 BY_KIND = {
     "email": _email,
-    "secret": lambda text, key: _letters(text, "secret", key, hexadecimal=True),
+    "secret": _secret,
     "iban": _iban,
     "date": _date,
     "ip": _ip,

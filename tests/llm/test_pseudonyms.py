@@ -121,3 +121,13 @@ def test_planted_values_are_gone(spark, docs_of, sample_texts, kind):
             if kind != "card" or luhn(re.sub(r"\D", "", m[0])):
                 assert m[0] not in after[doc_id]
     assert all(after[d] == t for d, t in before.items() if not re.search("[0-9@]", t))
+
+
+def test_capital_secrets(spark, docs_of):
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    values = [f'TOKEN = "{secret}"', secret.lower(), secret[:31], "A" * 40, "1" * 40, secret + "x"]
+    p = pseudonym_of(spark, values)
+    new = p[0][9:-1]
+    assert re.fullmatch("[0-9A-F]{40}", new) and new != secret and p[0] == f'TOKEN = "{new}"'
+    assert p[1] == new.lower() and p[2:] == values[2:]
+    assert P.pseudonymised(docs_of(values[:2])).agg(F.sum("n_secret")).first()[0] == 2
