@@ -545,6 +545,10 @@ def plsda_one_component(spark, folder):
 # ---------------------------------------------------------------- whole analyses
 
 
+#: So many that every dimension of the stability's cycle occurs.
+STABILITY_PCS = 5
+
+
 def _plane(spark, folder, components: int = 3):
     """Leading scores of the default exploratory recipe, materialised once."""
     s = embedding_spectra(spark, folder)
@@ -597,9 +601,10 @@ def cluster_benchmark(spark, folder):
 
 
 def cluster_stability(spark, folder):
-    _, model, scores = _plane(spark, folder)
-    base = clustering.analyze(scores, "scores", model.n)
-    return spark.createDataFrame(clustering.cluster_stability(scores, "scores", 3, base, model.n).table)
+    """Labels of the plane that ``cluster_benchmark`` looks at, against replicates of 2, 3 and 5 dimensions."""
+    _, model, scores = _plane(spark, folder, STABILITY_PCS)
+    base = clustering.analyze(scores.select(ID, F.slice("scores", 1, 3).alias("scores")), "scores", model.n)
+    return spark.createDataFrame(clustering.cluster_stability(scores, "scores", model.components, base, model.n).table)
 
 
 def preprocessing_stability(spark, folder):
