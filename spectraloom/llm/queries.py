@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, licenses, mixing, pseudonyms, quality, simhash, substrings, token_store
+from . import chat, conversations, decontaminate, html_text, licenses, mixing, pseudonyms, quality, sharding, simhash, spelling, sql, substrings, token_store
 from .text import table
 
 
@@ -59,11 +59,31 @@ def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.documents_of(token_store.write_store(table(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_html_text, op3_licenses, op4_quality, op5_substrings, op6_mixing, op7_pseudonyms, op8_chat, op9_token_store, op10_simhash)}
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, folder, "conversations")))
+
+
+def op12_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_html_text, op3_licenses, op4_quality, op5_substrings, op6_mixing, op7_pseudonyms, op8_chat,
+        op9_token_store, op10_simhash, op11_conversation_repair, op12_virtual_slots, op13_spelling,
+    )
+}
 
 WORDS = "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 ORACLE = {
+    "op11_conversation_repair": sql.CONVERSATIONS,
+    "op13_spelling": sql.SPELLING,
     "op8_chat": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
     SELECT -1, x, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(x, r))
