@@ -23,6 +23,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(
     f"[{WHITE}]+(?![^{WHITE}])|[{WHITE}]?+[A-Za-z0-9À-ÖØ-öø-ÿ]++(?=[!-/:-@\\[-`{{-~])|[{WHITE}]?[^{WHITE}]+"
 )
+#: Runs of white space too long for a look-ahead.
+LONG_WHITE = re.compile(f"[{WHITE}]{{5000,}}")
 #: Distinct chunks of one generation; a worker keeps two, some 200 MB.
 KEPT_CHUNKS = 500_000
 #: Chunks above this many characters are encoded anew.
@@ -93,7 +95,20 @@ def rank_encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
 
     ranks = rank_vocabulary(vocabulary)
     own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(own.encode_ordinary(text), dtype=np.uint32)
+
+    def encode(text: str) -> np.ndarray:
+        ids, at = [], 0
+        for run in LONG_WHITE.finditer(text):
+            # the pattern takes such a run as one piece, less its last character if something follows; its own
+            # look-ahead would step back over all of it on the stack
+            end = run.end() - (run.end() < len(text))
+            ids += own.encode_ordinary(text[at : run.start()])
+            ids += own._encode_single_piece(run.group()[: end - run.start()])
+            at = end
+        ids += own.encode_ordinary(text[at:])
+        return np.array(ids, dtype=np.uint32)
+
+    return encode
 
 
 @cache

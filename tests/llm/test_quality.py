@@ -117,3 +117,21 @@ def test_long_clean_prose_is_kept_and_long_junk_not(spark):
     got = {r["doc_id"]: r for r in rows_of(quality.measures(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))}
     assert all(got[i]["kept"] and got[i]["n_tokens"] > 100_000 for i in range(4)), got
     assert not got[4]["base_failed"] and not got[4]["kept"] and got[4]["token_entropy"] < 0.45
+
+
+def test_long_runs(spark, docs_of):
+    """Runs of a million blanks, lines and letters; what is cut at blanks gives the library's own ids."""
+    from spectraloom.llm import tokens
+
+    path = quality.vocabulary_path()
+    encode = tokens.rank_encoder(path)
+    import public_tokenizers
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.rank_vocabulary(path), special_tokens={})
+    for white in (" ", "\n", " \t\n", "\xa0 ", "\u3000"):
+        for text in (f"a{white * 6_000}b", f"{white * 9_000}", f"{white * 5_000} word{white * 5_001}", f"x {white * 5_003}\n.\n"):
+            assert encode(text).tolist() == own.encode_ordinary(text)
+    rows = ["word " + " " * 1_000_000 + "end", "\n" * 1_200_000, " \n" * 600_000 + "x", "a" * 1_000_000, "!" * 500_000, "1" * 500_000]
+    got = {r["doc_id"]: r for r in rows_of(quality.measures(docs_of(rows)))}
+    assert [got[i]["n_words"] for i in range(6)] == [2, 0, 1, 1, 1, 1] and all(r["n_tokens"] > 0 for r in got.values())
