@@ -2,12 +2,13 @@
 
 A text and an item that share a span of ``window`` words share, inside that span, the smallest
 hash of its k-grams.  So each text keeps one hash per sliding window (its fingerprints), the
-fingerprints meet those of the items in a join, and every meeting is extended to the windows
-around it, which are compared as whole word sequences.  Nothing shared by ``window`` words or
+fingerprints meet those of the items in a join, and every meeting is extended to the run of windows
+that share the fingerprint, which are compared as whole word sequences.  Nothing shared by ``window`` words or
 more can be missed, and nothing is reported that isn't equal word by word.
 
 Only DataFrame expressions run here.  A document's words stay in its own row: the join is a
-probe of each fingerprint, and only probes that meet carry words on.
+probe of each fingerprint, and probes that meet carry on the words of their own windows only, so
+cost and memory are in proportion to a text's length, however much of it is contaminated.
 
 Edge cases: a null or wordless text has no words and no hits; an item with fewer words than the
 window is one window of its own length; a wordless item is ignored; an item without id counts
@@ -17,6 +18,8 @@ all documents clean; other columns of the documents are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,64 +67,69 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> D
     ).distinct()
 
 
-def fingerprints(words: Column, hashes: Column, length: int, k: int) -> Column:
-    """Distinct smallest gram hashes of all windows of ``length`` words."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fingerprints(words: Column, length: int, k: int) -> Column:
+    """Runs of windows of ``length`` words that have one smallest gram hash: ``(gram, start, end)``, windows start to end - 1."""
     width = max(1, length - k + 1)
-    return F.array_distinct(
-        F.transform(
+
+    def smallest(hashes: Column) -> Column:
+        return F.transform(
             starts(words, length),
             lambda i: F.least(*[F.get(hashes, i + j) for j in range(width)]) if width > 1 else F.get(hashes, i),
         )
-    )
+
+    def runs(prints: Column) -> Column:
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(prints) - 1), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1))
+        )
+        ended = let(
+            first,
+            lambda at: F.zip_with(
+                at,
+                F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(prints))),
+                lambda s, e: F.struct(F.get(prints, s).alias("gram"), s.alias("start"), e.alias("end")),
+            ),
+        )
+        return F.when(F.size(prints) > 0, ended)
+
+    hashes = F.transform(starts(words, k), lambda i: gram_hash(words, i, k))
+    return let(let(hashes, smallest), runs)
 
 
 def _meetings(docs: DataFrame, items: DataFrame, length: int, k: int, broadcast_rows: int) -> DataFrame:
-    """``(doc_id, text_hash, start, window_text)`` of the document windows around each met fingerprint."""
+    """``(doc_id, text_hash, start, window_text)`` of the document windows whose fingerprint is met.
+
+    A window equal to an item's has its fingerprint, so no other windows need a look; of a text's words only those
+    of its met windows go on.
+    """
     k = min(k, length)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("words"))
-    hashed = keyed.withColumn(
-        "hashes", F.transform(starts(F.col("words"), k), lambda i: gram_hash(F.col("words"), i, k))
-    ).withColumn("grams", fingerprints(F.col("words"), F.col("hashes"), length, k))
+    looked = keyed.select("doc_id", "text_hash", "words", F.explode(fingerprints(F.col("words"), length, k)).alias("run"))
     wanted = items.filter(F.col("length") == length).select("gram").distinct()
     if items.count() <= broadcast_rows:
-        met = hashed.select("doc_id", "text_hash", "words", "hashes", F.explode_outer("grams").alias("gram")).join(
-            F.broadcast(wanted), "gram", "left_semi"
-        )
+        met = looked.select("doc_id", "text_hash", "words", "run.*").join(F.broadcast(wanted), "gram", "left_semi")
     else:
         # the words stay behind; only fingerprints travel, those of frequent passages salted
-        salted = keyed_salt(hashed.select("doc_id", "text_hash", F.explode_outer("grams").alias("gram")))
+        salted = keyed_salt(looked.select("doc_id", "text_hash", "run.*"))
         pairs = salted.join(spread(wanted), ["gram", "salt"], "left_semi")
-        found = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set("gram").alias("met"))
+        found = pairs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("met"))
         met = (
-            hashed.drop("grams")
-            .alias("d")
+            keyed.alias("d")
             .join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.text_hash = f.text_hash"))
-            .select("d.doc_id", "d.text_hash", "words", "hashes", F.explode("met").alias("gram"))
+            .select("d.doc_id", "d.text_hash", "words", F.inline("met"))
         )
-    places = met.select(
-        "doc_id",
-        "text_hash",
-        "words",
-        F.explode(
-            F.filter(
-                F.transform(F.col("hashes"), lambda h, i: F.when(h == F.col("gram"), i)), lambda i: i.isNotNull()
-            )
-        ).alias("at"),
+    cut = met.select(
+        "doc_id", "text_hash", "start", F.slice("words", F.col("start") + 1, F.col("end") - F.col("start") + length - 1).alias("words")
     )
-    around = places.select(
-        "doc_id",
-        "text_hash",
-        "words",
-        F.explode(
-            F.sequence(F.greatest(F.lit(0), F.col("at") - (length - k)), F.least("at", F.size("words") - length))
-        ).alias("start"),
+    windows = F.transform(
+        starts(F.col("words"), length), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, F.lit(length)), " ").alias("window_text"))
     )
-    return around.select(
-        "doc_id",
-        "text_hash",
-        "start",
-        F.lit(length).alias("length"),
-        F.array_join(F.slice("words", F.col("start") + 1, F.lit(length)), " ").alias("window_text"),
+    return cut.select("doc_id", "text_hash", "start", F.inline(windows)).select(
+        "doc_id", "text_hash", (F.col("start") + F.col("at")).alias("start"), F.lit(length).alias("length"), "window_text"
     )
 
 

@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from llm_fixtures import DATA, docs_of, rows_of, sample_texts  # noqa: F401
+from llm_fixtures import DATA, by_doc, docs_of, rows_of, sample_texts  # noqa: F401
 
 from spectraloom.llm import decontaminate as D
 
@@ -80,3 +80,15 @@ def test_stage_keeps_clean_rows_and_columns(spark, docs_of, items_of):
     dirty = {i for i, t in docs() if brute(t, ITEMS)[4]}
     assert kept.columns == df.columns
     assert sorted((str(r["doc_id"]) for r in rows_of(kept))) == sorted(str(i) for i, _ in docs() if i not in dirty)
+
+
+@pytest.mark.parametrize("rows", [D.BROADCAST_ROWS, 0])
+def test_long_contaminated_text(spark, docs_of, rows):
+    """60,000 words, all of them from 1,500 items of 40 words."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(1_500)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    text = " ".join(t for _, t in items)
+    docs = docs_of([text, "none of it " * 20_000])
+    got = by_doc(D.contamination(docs, benchmark, broadcast_rows=rows))
+    assert (got[0]["n_words"], got[0]["n_hit"], got[0]["n_items"]) == (60_000, 60_000, 1_500) and got[0]["contaminated"]
+    assert (got[1]["n_hit"], got[1]["n_items"]) == (0, 0)
