@@ -363,3 +363,20 @@ ORACLE |= {
                 greatest(5, least(40, CAST(round_even(2 * sqrt(greatest(4, n)), 0) AS BIGINT))),
                 greatest(3, least(20, least(n - 2, 64))), greatest(2, least(25, least(n - 2, 64)))])::BIGINT AS value FROM m, r""",
 }
+
+_DEAL = """g{t} AS (SELECT {by}grp, CAST(sum(rows) AS BIGINT) AS size FROM s{t} GROUP BY ALL),
+    l{t} AS (SELECT {by}grp, label AS stratum FROM s{t} QUALIFY row_number() OVER (PARTITION BY {by}grp ORDER BY rows DESC, label DESC) = 1),
+    k{t} AS (SELECT {by}grp, row_number() OVER (PARTITION BY {by}stratum ORDER BY size DESC, md5(concat({seed}, '|', grp)), grp) - 1 AS k
+        FROM g{t} JOIN l{t} USING ({by}grp)),
+    f{t}d AS (SELECT {by}grp, CAST(CASE WHEN (k // {n}) % 2 = 0 THEN k % {n} ELSE {n} - 1 - k % {n} END AS INTEGER) AS fold FROM k{t})"""
+ORACLE |= {
+    "nested_folds": f"""WITH {F1}, r AS (SELECT sample_index, site || '|' || batch AS grp, CASE WHEN CAST(class_label AS INTEGER) < 5 THEN 1 ELSE 0 END AS label FROM f1),
+    so AS (SELECT grp, label, count(*) AS rows FROM r GROUP BY ALL), {_DEAL.format(t='o', by='', seed=42, n=3)},
+    si AS (SELECT o, so.* FROM so JOIN fod USING (grp), (VALUES (0), (1), (2)) v(o) WHERE o <> fold), {_DEAL.format(t='i', by='o, ', seed='1043 + o', n=2)}
+    SELECT sample_index, r.grp AS "group", CAST(v.o + 1 AS INTEGER) AS outer_fold, CASE WHEN fod.fold = v.o THEN 'test' ELSE 'train' END AS role,
+        fid.fold AS inner_fold FROM r JOIN fod ON r.grp = fod.grp, (VALUES (0), (1), (2)) v(o) LEFT JOIN fid ON fid.o = v.o AND fid.grp = r.grp""",
+    "knn_plane": """WITH p AS (SELECT o_orderkey AS sample_index, o_totalprice / 1000.0::DOUBLE AS x,
+        CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders)
+    SELECT a.sample_index, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 5)[5], 6) + 0.0 AS kth_distance
+    FROM p a, p b GROUP BY a.sample_index""",
+}

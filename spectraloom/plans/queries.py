@@ -644,6 +644,19 @@ def nested_audit(spark, folder):
     return result.family_oof
 
 
+def nested_folds(spark, folder):
+    """Outer and inner folds of the nested audit, whole sources each."""
+    s = _two_class(spark, folder)
+    return nested.dealt_folds(s, "half", metadata.group_key(s.df, ["site", "batch"]))
+
+
+def knn_plane(spark, folder):
+    """Distance of every order to its fifth nearest in the plane of price and date: enough rows for cells of space."""
+    days = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double")
+    points = table(spark, folder, "orders").select(F.col("o_orderkey").alias(ID), F.array(F.col("o_totalprice") / 1000.0, days).alias("x"))
+    return rounded(neighbors.kth_distance(points, "x", 5, points.count()), "kth_distance")
+
+
 def permutation_null(spark, folder):
     s = _two_class(spark, folder)
     group = metadata.group_key(s.df, ["site", "batch"])
@@ -754,7 +767,7 @@ QUERIES = {
         pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
         cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
         spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics,
-        metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
+        nested_folds, knn_plane, metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
     )
 }
 QUERIES.update(
