@@ -24,7 +24,8 @@ from ..functions import ranges, smoothing
 from ..functions.arrow_matrix import to_list_array, to_matrix
 from ..functions.spectrum import trapezoid_weights
 from ..spectra import ID, Y, Spectra
-from .quantiles import exact_quantiles
+from .position_quantiles import array_quantiles, extents
+from .quantiles import GATHER_BOUND, exact_quantiles
 
 # Default parameters of every step, and the canonical stage order.
 STEP_DEFAULTS = {
@@ -231,7 +232,13 @@ def column_moments(df: DataFrame, y: str = Y) -> tuple[int, np.ndarray, np.ndarr
 
 
 def position_quantiles(df: DataFrame, width: int, probs: Sequence[float], y: str = Y) -> np.ndarray:
-    """``width x len(probs)`` exact quantiles per array position (NaN where nothing is present)."""
+    """``width x len(probs)`` exact quantiles per array position (NaN where nothing is present).
+
+    Few rows are sorted by the built-in percentile; more never become cells, see ``array_quantiles``.
+    """
+    known = extents(df, width, y)
+    if known[0].max(initial=0) > GATHER_BOUND:
+        return array_quantiles(df, width, probs, y, known)
     cells = df.select(F.posexplode(y).alias("pos", "v"))
     found = exact_quantiles(cells, "v", probs, ["pos"])
     return np.array([found.get((p,), [np.nan] * len(probs)) for p in range(width)])
