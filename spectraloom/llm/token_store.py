@@ -122,8 +122,8 @@ def encoded(
             )
 
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(np.append(encoder.ids(text or ""), np.uint32(end)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.each(batch.column(1).to_pylist())):
+                held.append(np.append(ids, np.uint32(end)))
                 names.append(doc_id)
                 size += len(held[-1])
                 if size >= block_ids:

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,38 +28,67 @@ LONG_WHITE = re.compile(f"[{WHITE}]{{5000,}}")
 KEPT_CHUNKS = 500_000
 #: Chunks above this many characters are encoded anew.
 KEPT_CHARS = 64
+#: Chunks that one call of the library encodes.
+JOINED = 512
+#: Characters of texts whose missing chunks are gathered.
+HELD_CHARS = 1 << 20
 
 
 class Encoder:
-    """Texts to arrays of ids; ``encode`` gives the ids of a list of strings.
+    """Texts to arrays of ids; ``encode`` gives the ids of strings as little-endian bytes, four an id.
 
     Chunks are kept in two generations: when the young one is full it becomes the old one, and chunks
-    found there move on to the next, so that frequent chunks stay.
+    found there move on to the next, so that frequent chunks stay.  The missing chunks of all texts of a call are
+    encoded together.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], whole: tuple[str, ...] = ()):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] = ()):
         self._encode, self._whole = encode, whole
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        if any(w in text for w in self._whole):  # strings that the library treats apart
-            return np.array(self._encode([text])[0], dtype="<u4")
-        chunks = CHUNK.findall(text)
-        parts = list(map(self._young.get, chunks))
-        if None in parts:
-            missing = [i for i, part in enumerate(parts) if part is None]
-            found = self._added({chunks[i] for i in missing})
-            for i in missing:
+        return self.ids_of([text])[0]
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of one text after another (a null is empty); few texts are held as chunks at once."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text or "")
+            chars += len(held[-1])
+            if chars >= HELD_CHARS:
+                yield from self.ids_of(held)
+                held, chars = [], 0
+        yield from self.ids_of(held)
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        open_texts, missing = [], set()
+        for at, text in enumerate(texts):
+            if any(w in text for w in self._whole):  # strings that the library treats apart
+                out[at] = np.frombuffer(self._encode([text])[0], dtype="<u4")
+                continue
+            chunks = CHUNK.findall(text)
+            parts = list(map(self._young.get, chunks))
+            if None in parts:
+                gaps = [i for i, part in enumerate(parts) if part is None]
+                missing.update([chunks[i] for i in gaps])
+                open_texts.append((at, chunks, parts, gaps))
+            else:
+                out[at] = np.frombuffer(b"".join(parts), dtype="<u4")
+        found = self._added(missing) if missing else {}
+        for at, chunks, parts, gaps in open_texts:
+            for i in gaps:
                 parts[i] = found[chunks[i]]
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+            out[at] = np.frombuffer(b"".join(parts), dtype="<u4")
+        return out
 
     def _added(self, chunks: set[str]) -> dict[str, bytes]:
         old = self._old
         found = {c: old[c] for c in chunks if c in old}
         new = [c for c in chunks if c not in old]
         if new:
-            found.update(zip(new, [array("I", ids).tobytes() for ids in self._encode(new)]))
+            found.update(zip(new, self._encode(new)))
         self._young.update(found if max(map(len, new), default=0) <= KEPT_CHARS else {c: x for c, x in found.items() if len(c) <= KEPT_CHARS})
         if len(self._young) > KEPT_CHUNKS:
             self._old, self._young = self._young, {}
@@ -76,8 +104,24 @@ def library_encoder(vocabulary: str) -> Encoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(vocabulary)
-    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], special)
+    added = tokenizer.get_added_tokens_decoder()
+    apart = next(((i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+
+    def listed(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(texts) == 1 or apart is None:
+            return [ids.tobytes() for ids in listed(texts)]
+        # one call for many chunks: the library encodes what is between special tokens by itself
+        out = []
+        for at in range(0, len(texts), JOINED):
+            ids = listed([apart[1].join(texts[at : at + JOINED])])[0]
+            data, cuts = ids.tobytes(), np.flatnonzero(ids == apart[0]).tolist()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+        return out
+
+    return Encoder(encode, tuple(t.content for t in added.values()))
 
 
 @cache
