@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ GROUP_ROWS = 32_768
 #: Rows of one Arrow batch given back.
 OUT_ROWS = 8_192
 KEY = ["doc_id", "text_hash"]
+#: Bits of a number that hold a word's place; a text of 2^31 bytes has no more words.
+PLACE = np.uint64((1 << 30) - 1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -62,78 +65,77 @@ def anchors(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.
     for j in range(gram):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(runs) + j]
     runs ^= runs >> np.uint64(31)
-    inside = np.lib.stride_tricks.sliding_window_view(runs, window - gram + 1)
-    place = np.concatenate([part.argmin(axis=1) for part in np.array_split(inside, len(inside) // 65_536 + 1)])
-    return place + np.arange(len(place)), runs
+    # the leading bits of the hash, then the place: the least of a window is its first place of least hash
+    least, span, wide = (runs & ~PLACE) | np.arange(len(runs), dtype=np.uint64), window - gram + 1, 1
+    while 2 * wide <= span:
+        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+    if wide < span:
+        least = np.minimum(least[: wide - span], least[span - wide :])
+    return (least & PLACE).astype(np.int64), runs
 
 
 def places(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(doc_id, text_hash, run, at)`` of all anchors."""
+    """``(doc_id, text_hash, run, at, first, last)`` of all anchors; their windows begin at words ``first`` to ``last``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
-            rows, runs, at = [], [], []
+            rows, runs, at, firsts, lasts = [], [], [], [], []
             for i, text in enumerate(byte_texts(batch.column(2))):
                 anchor, hashes = anchors((text or b"").split(), window, gram)
-                chosen = np.unique(anchor)
-                rows.append(np.full(len(chosen), i))
-                runs.append(hashes[chosen])
-                at.append(chosen)
+                # anchors never move back from one window to the next
+                first = np.flatnonzero(np.diff(anchor, prepend=-1))
+                rows.append(np.full(len(first), i))
+                runs.append(hashes[anchor[first]])
+                at.append(anchor[first])
+                firsts.append(first)
+                lasts.append(np.append(first[1:], len(anchor))[: len(first)] - 1)
             row = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(row),
                     batch.column(1).take(row),
                     pa.array(np.concatenate(runs).view(np.int64)),
-                    pa.array(np.concatenate(at).astype(np.int32)),
+                    *(pa.array(np.concatenate(x).astype(np.int32)) for x in (at, firsts, lasts)),
                 ],
-                [*KEY, "run", "at"],
+                [*KEY, "run", "at", "first", "last"],
             )
 
-    return docs.mapInArrow(run, f"{key_types(docs)}, run bigint, at int")
+    return docs.mapInArrow(run, f"{key_types(docs)}, run bigint, at int, first int, last int")
 
 
 def key_types(docs: DataFrame) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint"
 
 
-def suffix_rows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row per repeated anchor of a document: its windows begin at words ``first`` to ``last``, and
-    ``words`` is the text from the first window's begin to the last one's end."""
+def suffix_rows(candidates: DataFrame, window: int, hot: bool) -> DataFrame:
+    """One row per repeated anchor of a document, of the frequent ones or of the others: its windows begin at words ``first`` to
+    ``last``, and ``words`` is the text from the first window's begin to the last one's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
-            made = []
-            for i, text in enumerate(byte_texts(batch.column(2))):
+            sizes = pc.list_value_length(batch.column(3)).to_numpy()
+            at, first, last, runs = batch.column(3).flatten().flatten()[:4]
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            starts, ends = iter(first.to_pylist()), iter(last.to_pylist())
+            texts = []
+            for text, size in zip(byte_texts(batch.column(2)), sizes.tolist()):
                 words = text.split()
-                anchor, hashes = anchors(words, window, gram)
-                found = batch.column(3)[i].as_py()
-                at = np.array([x["at"] for x in found])
-                # anchors never move back from one window to the next
-                first, after = np.searchsorted(anchor, at), np.searchsorted(anchor, at, side="right")
-                for x, a, b in zip(found, first.tolist(), after.tolist()):
-                    made.append(
-                        (i, hashes[x["at"]].view(np.int64), x["hot"], x["at"], a, b - 1, b" ".join(words[a : b - 1 + window]))
-                    )
-            for part in range(0, len(made), OUT_ROWS):
-                row, runs, hot, at, first, last, text = zip(*made[part : part + OUT_ROWS])
+                texts += [b" ".join(words[a : b + window]) for a, b in zip(itertools.islice(starts, size), itertools.islice(ends, size))]
+            for part in range(0, len(rows), OUT_ROWS):
+                row = pa.array(rows[part : part + OUT_ROWS])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(row)),
-                        batch.column(1).take(pa.array(row)),
-                        pa.array(runs, pa.int64()),
-                        pa.array(hot, pa.bool_()),
-                        pa.array(at, pa.int32()),
-                        pa.array(first, pa.int32()),
-                        pa.array(last, pa.int32()),
-                        pa.array(text, pa.binary()),
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        *(c.slice(part, OUT_ROWS) for c in (runs, at, first, last)),
+                        pa.array(texts[part : part + OUT_ROWS], pa.binary()),
                     ],
-                    [*KEY, "run", "hot", "at", "first", "last", "words"],
+                    [*KEY, "run", "at", "first", "last", "words"],
                 )
 
-    return candidates.select(*KEY, "text", "anchors").mapInArrow(
-        run, f"{key_types(candidates)}, run bigint, hot boolean, at int, first int, last int, words binary"
-    )
+    wanted = F.filter("anchors", lambda x: x["hot"] == hot)
+    chosen = candidates.select(*KEY, "text", wanted.alias("anchors")).filter(F.size("anchors") > 0)
+    return chosen.mapInArrow(run, f"{key_types(candidates)}, run bigint, at int, first int, last int, words binary")
 
 
 def word_starts(words: bytes) -> array:
@@ -205,7 +207,7 @@ def group_repeats(rows: DataFrame, window: int) -> DataFrame:
         yield spans_batch(out, kind)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parted = rows.filter("not hot").select("run", *KEY, "at", "first", "last", "words").repartition("run")
+    parted = rows.select("run", *KEY, "at", "first", "last", "words").repartition("run")
     return parted.sortWithinPartitions("run").mapInArrow(run, f"{key_types(rows)}, start int, end int")
 
 
@@ -250,8 +252,7 @@ def hot_repeats(rows: DataFrame, window: int) -> DataFrame:
                 [*KEY, "start", "node"],
             )
 
-    hot = rows.filter("hot").select(*KEY, "first", "last", "words")
-    leaves = written(hot.mapInArrow(run, f"{key_types(rows)}, start int, node binary"))
+    leaves = written(rows.select(*KEY, "first", "last", "words").mapInArrow(run, f"{key_types(rows)}, start int, node binary"))
     deep = leaves.groupBy("node").count().filter("count > 1").select("node")
     return leaves.join(deep, "node", "left_semi").select(*KEY, "start", (F.col("start") + window).alias("end"))
 
@@ -269,7 +270,7 @@ def removals(
     found = (
         anchor.join(repeated, "run")
         .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_set(F.struct("at", "hot"))).alias("anchors"))
+        .agg(F.array_sort(F.collect_set(F.struct("at", "first", "last", "run", "hot"))).alias("anchors"))
     )
     k, f = keyed.alias("k"), found.alias("f")
     candidates = written(
@@ -277,10 +278,9 @@ def removals(
             "k.doc_id", "k.text_hash", "text", "anchors"
         )
     )
-    rows = suffix_rows(candidates, window, gram)
-    spans = group_repeats(rows, window)
+    spans = group_repeats(suffix_rows(candidates, window, False), window)
     if repeated_hot(candidates):
-        spans = spans.unionByName(hot_repeats(rows, window))
+        spans = spans.unionByName(hot_repeats(suffix_rows(candidates, window, True), window))
     return keyed, candidates, spans
 
 
