@@ -193,8 +193,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield rest[5], rest[6], np.concatenate([[0], np.flatnonzero(new)])
 
 
-def search(code: np.ndarray, fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning star links of the rows of each group, which starts at ``group`` and is in Gray order."""
+def search(
+    code: np.ndarray, fp: np.ndarray, group: np.ndarray, bits: int, near: Callable | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning star links of the rows of each group, which starts at ``group`` and is in Gray order.
+
+    ``near`` may judge the pairs of rows that are within ``bits``.
+    """
     n = len(code)
     levels = tree(code, group)
     label = np.arange(n)
@@ -220,6 +225,9 @@ def search(code: np.ndarray, fp: np.ndarray, group: np.ndarray, bits: int) -> tu
                 step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(below, size) + step
                 query, differences, fixed = (np.repeat(x, size) for x in (query, differences, fixed))
+        if near is not None:
+            ok = near(query, at)
+            query, at = query[ok], at[ok]
         merge(label, query, at)
     ends = np.flatnonzero(label != np.arange(n))
     return fp[ends], fp[label[ends]]
@@ -287,6 +295,11 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     best = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "copies"), order).alias("best"))
+    return pick(docs, best)
+
+
+def pick(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``best`` names by ``doc_id`` and ``text_hash``, once where it has ``copies``."""
     doc_id, text_hash, copies, place = spare(docs, "kept_id", "kept_hash", "kept_copies", "kept_place")
     chosen = best.select(
         F.col("best.doc_id").alias(doc_id), F.col("best.text_hash").alias(text_hash), F.col("best.copies").alias(copies)

@@ -7,8 +7,8 @@ import duckdb
 import numpy as np
 from llm_fixtures import DATA, docs_of, rows_of, sample_texts  # noqa: F401
 from test_decontaminate import brute as brute_contamination
+from test_near_copies import brute_classes
 from test_quality import brute as brute_base
-from test_simhash import brute_classes, brute_fingerprint
 from test_token_store import plain
 
 from spectraloom.llm import mixing, quality, tokens
@@ -27,7 +27,7 @@ def test_stages_match_brute_force(spark):
         return base[0] >= 50 and 100 * base[4] <= 50 * base[0] and quality.inside(quality.LANGUAGES[lang], *fit)
 
     left = {i: (t, s) for i, t, lang, s in docs if good(t, lang)}
-    classes = brute_classes({i: brute_fingerprint(t) for i, (t, _) in left.items()})
+    classes = brute_classes({i: t for i, (t, _) in left.items()})
     left = {i: x for i, x in left.items() if classes[i] == i}
     left = {i: x for i, x in left.items() if not brute_contamination(x[0], items)[4]}
 
