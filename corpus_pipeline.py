@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import decontaminate, mixing, quality, simhash, token_store
+from spectraloom.llm import decontaminate, mixing, near_copies, quality, token_store
 from spectraloom.llm.text import table
 from spectraloom.session import ship, written
 
@@ -22,9 +22,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each class of five-word shingle similarity 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
