@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.metadata import ROLE_ALIASES
+
 F1 = """f1 AS (
   SELECT vec_id AS sample_index, CAST(label AS VARCHAR) AS class_label,
          'S' || (vec_id % 8) AS site, 'B' || (vec_id % 5) AS batch,
@@ -106,6 +108,11 @@ def _scores(source: str, by: str) -> str:
 )"""
 
 
+#: The roles in tie-break order and their header aliases, as rows.
+_ROLES = ", ".join(f"({i}, '{r}')" for i, r in enumerate(ROLE_ALIASES) if r != "other")
+_ALIASES = ", ".join(f"('{r}', '{a}')" for r, names in ROLE_ALIASES.items() for a in names)
+
+
 ORACLE: dict[str, str] = {
     "exclude_ranges": f"""WITH {F1} SELECT sample_index, CAST(400 + 25 * pos AS DOUBLE) AS wn, round(v, 6) + 0.0 AS y
         FROM f1l WHERE NOT (400 + 25 * pos BETWEEN 500 AND 1000 OR 400 + 25 * pos BETWEEN 1550 AND 1600)""",
@@ -183,6 +190,49 @@ ORACLE: dict[str, str] = {
           CAST(coalesce(sum(c) FILTER (regexp_matches(value, '^[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}')), 0) AS BIGINT) AS date_like,
           CAST(coalesce(sum(c) FILTER (TRY_CAST(value AS DATE) IS NOT NULL), 0) AS BIGINT) AS dates
         FROM d GROUP BY "column" """,
+    "metadata_schema": f"""WITH {F1}, l AS (
+          SELECT sample_index, unnest([
+            {{'column': 'class_label', 'value': class_label}}, {{'column': 'site', 'value': site}},
+            {{'column': 'batch', 'value': batch}}, {{'column': 'replicate', 'value': CAST(sample_index % 3 AS VARCHAR)}}], recursive := true) FROM f1),
+        st AS (
+          SELECT "column", count(*) AS n, count(value) AS present, count(DISTINCT value) AS uniq, count(DISTINCT trim(value)) AS uniq_text,
+            count(TRY_CAST(value AS DOUBLE)) AS num,
+            count(*) FILTER (TRY_CAST(value AS DOUBLE) BETWEEN 1900 AND 2100 AND TRY_CAST(value AS DOUBLE) = floor(TRY_CAST(value AS DOUBLE))) AS years,
+            count(*) FILTER (regexp_full_match(upper(trim(value)), '[A-Z]{{2,3}}')) AS states,
+            count(*) FILTER (regexp_matches(trim(value), '^[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}')) AS datelike,
+            count(*) FILTER (TRY_CAST(trim(value) AS DATE) IS NOT NULL) AS dates
+          FROM l GROUP BY "column"),
+        roles AS (SELECT * FROM (VALUES {_ROLES}) t(place, role)),
+        aliases AS (SELECT * FROM (VALUES {_ALIASES}) t(role, alias)),
+        head AS (
+          SELECT "column", role, max(CASE WHEN name = alias THEN 0.92::DOUBLE WHEN contains(name, alias) THEN 0.78::DOUBLE ELSE 0::DOUBLE END) AS h
+          FROM (SELECT "column", regexp_replace(lower("column"), '[^a-z0-9]+', '', 'g') AS name FROM st), aliases GROUP BY "column", role),
+        ev AS (
+          SELECT st.*, place, roles.role, h, CAST(CASE roles.role
+            WHEN 'year' THEN CASE WHEN num > 0.9 * present AND years > 0.8 * num THEN 0.82 ELSE 0 END
+            WHEN 'state_or_province' THEN CASE WHEN uniq_text <= 70 AND states > 0.8 * present THEN 0.58 ELSE 0 END
+            WHEN 'sample_id' THEN CASE WHEN uniq_text > 0.85 * present AND uniq_text >= greatest(5, present // 2) THEN 0.48 ELSE 0 END
+            WHEN 'date' THEN CASE WHEN present >= 3 AND datelike > 0.5 * present AND dates > 0.8 * present THEN 0.68 ELSE 0 END
+            WHEN 'class_label' THEN CASE WHEN uniq_text BETWEEN 2 AND greatest(30, present // 2) THEN 0.34 ELSE 0 END
+            ELSE 0 END AS DOUBLE) AS v
+          FROM st JOIN head USING ("column") JOIN roles ON roles.role = head.role),
+        sc AS (SELECT *, least(0.99::DOUBLE, greatest(h, v, h + 0.12::DOUBLE * v)) AS e FROM ev),
+        best AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY e DESC, place) AS rn FROM sc),
+        ex AS (
+          SELECT "column", string_agg(value, ', ' ORDER BY sample_index) AS example
+          FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY sample_index) AS rn FROM l WHERE value IS NOT NULL) WHERE rn <= 3 GROUP BY "column")
+        SELECT "column", CASE WHEN e < 0.42 THEN 'other' ELSE role END AS role, CASE WHEN e < 0.42 THEN greatest(e, 0.2::DOUBLE) ELSE e END AS confidence,
+          uniq AS unique_values, 100.0::DOUBLE * (1.0::DOUBLE - present / n) AS missing_percent, coalesce(example, '') AS example,
+          coalesce(nullif(concat_ws(' + ', CASE WHEN e >= 0.42 AND h >= 0.5 THEN 'column name' END, CASE WHEN e >= 0.42 AND v >= 0.45 THEN 'value pattern' END), ''),
+            'weak/ambiguous evidence') AS reason
+        FROM best LEFT JOIN ex USING ("column") WHERE rn = 1""",
+    "stream_runs": """WITH e AS (
+          SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
+          FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+        k AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended,
+          count(*) AS readings, round(sum(value), 4) AS total, max(value) AS peak
+        FROM k GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR""",
     "group_key": f"WITH {F2} SELECT sample_index, r_name || '|' || c_mktsegment AS group_key FROM f2",
     "eligibility": f"""WITH {F2} SELECT o_orderpriority AS class, count(DISTINCT n_name || '|' || o_orderstatus) AS independent_groups,
         count(DISTINCT n_name || '|' || o_orderstatus) >= 75 AS eligible FROM f2 GROUP BY o_orderpriority""",

@@ -42,7 +42,7 @@ from ..sources.tables import (
     table,
 )
 from ..spectra import ID, Y, Spectra
-from ..streaming import scoring
+from ..streaming import scoring, sessions
 from . import audit, guided, nested, review, selection
 
 EXCLUSION = "500-800,700-1000; 1550-1600"
@@ -750,6 +750,17 @@ def stream_diagnostics(spark, folder):
     return spark.read.parquet(f"{base}/rows")
 
 
+def stream_runs(spark, folder):
+    """The event table as a stream: every user's runs of readings that the watermark has closed."""
+    base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    raw = scoring.arriving(spark, f"{folder}/[e]vents.parquet", table(spark, folder, "events").schema)
+    found = sessions.runs(raw, "user_id", "event_id", "ts", "value", gap="6 hours", delay="12 hours")
+    scoring.start(found, f"{base}/rows", f"{base}/log").awaitTermination()
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("started", "ended")]
+    rows = spark.read.schema(found.schema).parquet(f"{base}/rows")
+    return rows.select("user_id", *shown, "readings", F.round("total", 4).alias("total"), "peak")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -766,7 +777,7 @@ QUERIES = {
         fold_assignment, row_fold_assignment, leakage_check, running_best, plsda_one_component,
         pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
         cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
-        spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics,
+        spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics, stream_runs,
         nested_folds, knn_plane, metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
     )
 }
