@@ -376,7 +376,46 @@ PAIR = f"""{F3S}, p2 AS (
 ), t2 AS (SELECT sample_index, x, y, big, s1 * u AS lx, s1 * w AS ly,
     s1 * (x * u + y * w) AS pc1, s2 * (x * -w + y * u) AS pc2 FROM c2, s2
 )"""
+
+
+def _pair_cv(points: str, mode: str, unit: str, digits: int) -> str:
+    """Curve of one component over ``points`` of (rx, ry, fold): the error is what lies across the first axis."""
+    axis = "(a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS big, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS small"
+    shown = {
+        "RMSEC_X": f"avg(cal) / {unit}", "RMSECV_X": f"avg(val) / {unit}", "RMSECV_X_SD": f"stddev_samp(val) / {unit}",
+        "RMSECV_X_SE": f"stddev_samp(val) / sqrt(count(*)) / {unit}", "RMSECV_X_BestFold": f"min(val) / {unit}",
+        "RMSECV_X_WorstFold": f"max(val) / {unit}", "PRESS_X": f"sum(press) / ({unit} * {unit})",
+        "Q2_X": "1 - sum(press) / sum(tss)", "ExplainedVariance_X": "any_value(ratio)",
+    }
+    return f"""{points}, tr AS (
+          SELECT f.fold, avg(rx) AS mx, avg(ry) AS my, count(*) AS n, var_pop(rx) * count(*) AS a, covar_pop(rx, ry) * count(*) AS b, var_pop(ry) * count(*) AS c
+          FROM (SELECT DISTINCT fold FROM x) f JOIN x ON x.fold <> f.fold GROUP BY f.fold),
+        ax AS (SELECT *, {axis} FROM tr),
+        dir AS (SELECT *, b / sqrt(b * b + (big - a) * (big - a)) AS u, (big - a) / sqrt(b * b + (big - a) * (big - a)) AS w FROM ax),
+        per AS (
+          SELECT fold, any_value(sqrt(small / (n * 2))) AS cal, sum(pow((ry - my) * u - (rx - mx) * w, 2)) AS press,
+            sum(pow(rx - mx, 2) + pow(ry - my, 2)) AS tss, sqrt(sum(pow((ry - my) * u - (rx - mx) * w, 2)) / (count(*) * 2)) AS val
+          FROM x JOIN dir USING (fold) GROUP BY fold),
+        whole AS (SELECT big / (a + c) AS ratio FROM (
+          SELECT a, c, {axis} FROM (SELECT var_pop(rx) AS a, covar_pop(rx, ry) AS b, var_pop(ry) AS c FROM x)))
+        SELECT CAST(1 AS BIGINT) AS components, '{mode}' AS validation_mode, count(*) AS folds, true AS recommended,
+          {", ".join(f'round({e}, {digits}) + 0.0 AS "{c}"' for c, e in shown.items())} FROM per, whole"""
+
+
 ORACLE |= {
+    "pair_cv": _pair_cv(
+        f"""WITH {F3S}, p2 AS (SELECT sample_index, max(v) FILTER (pos = 2) AS rx, max(v) FILTER (pos = 3) AS ry FROM f3l GROUP BY sample_index),
+        k AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || sample_index)) - 1 AS k, count(*) OVER () AS n FROM p2),
+        x AS (SELECT rx, ry, {_block(4)} AS fold FROM k)""",
+        "K-fold", "1e3", 4,
+    ),
+    "pair_cv_grouped": _pair_cv(
+        f"""WITH {F1}, g AS (SELECT site, count(*) AS size FROM f1 GROUP BY site),
+        o AS (SELECT site, row_number() OVER (ORDER BY size DESC, md5('42|' || site), site) - 1 AS k FROM g),
+        d AS (SELECT site, CASE WHEN (k // 4) % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END AS fold FROM o),
+        x AS (SELECT y[9] AS rx, y[10] AS ry, fold FROM f1 JOIN d USING (site))""",
+        "grouped", "1", 6,
+    ),
     "metadata_gaps": """SELECT unnest(['class_label', 'site', 'batch']) AS "column",
         unnest([count(*) FILTER (label IS NULL), count(*) FILTER (label IS NULL OR label = 3), count(*) FILTER (vec_id % 7 = 0)]) AS missing
         FROM embeddings""",

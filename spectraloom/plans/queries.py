@@ -695,6 +695,26 @@ def pair_diagnostics(spark, folder):
     )
 
 
+def pair_cv(spark, folder):
+    """Cross-validation of one component, whose reconstruction error has a closed form for two months."""
+    found, best = pca_cv(_pair(spark, folder), PAIR, 1, 4)
+    names = {"RMSEC_X": 1e3, "RMSECV_X": 1e3, "RMSECV_X_SD": 1e3, "RMSECV_X_SE": 1e3, "RMSECV_X_BestFold": 1e3,
+             "RMSECV_X_WorstFold": 1e3, "PRESS_X": 1e6, "Q2_X": 1.0, "ExplainedVariance_X": 1.0}
+    rows = spark.createDataFrame(found).select(
+        "components", "validation_mode", "folds", "recommended", *[(F.col(c) / unit).alias(c) for c, unit in names.items()]
+    )
+    return rounded(rows, *names, digits=4)
+
+
+def pair_cv_grouped(spark, folder):
+    """The same for two axis points of the embeddings, with whole sites held out."""
+    pair = [Step("Range", {"minimum": 600.0, "maximum": 625.0}), Step("Mean center")]
+    found, best = pca_cv(embedding_spectra(spark, folder), pair, 1, 4, group="site")
+    names = ["RMSEC_X", "RMSECV_X", "RMSECV_X_SD", "RMSECV_X_SE", "RMSECV_X_BestFold", "RMSECV_X_WorstFold", "PRESS_X", "Q2_X", "ExplainedVariance_X"]
+    rows = spark.createDataFrame(found).select("components", "validation_mode", "folds", "recommended", *names)
+    return rounded(rows, *names)
+
+
 def pair_contributions(spark, folder):
     s = _pair(spark, folder)
     found = contributions(fit_pca(s, PAIR, 1), s)
@@ -778,7 +798,7 @@ QUERIES = {
         pca_recipe_compare, choose_recommendation, ward_linkage, ward_cut, kmeans_history, kmeans_cluster,
         cluster_benchmark, cluster_stability, preprocessing_stability, resampling_stability,
         spectral_qc_summary, guided_health, nested_audit, permutation_null, stream_diagnostics, stream_runs,
-        nested_folds, knn_plane, metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
+        nested_folds, knn_plane, metadata_gaps, select_keys, trial_projection, pair_diagnostics, pair_cv, pair_cv_grouped, pair_contributions, lloyd_to_convergence, ward_energy, validation_defaults,
     )
 }
 QUERIES.update(
