@@ -3,15 +3,17 @@
 A notice may differ from its published words by a number of edits (inserted, lost or changed
 characters).  Cut into one more piece than edits are allowed, at least one piece of any such
 occurrence is unharmed; so the pieces of all notices are searched exactly, in one Aho-Corasick pass
-over the whole text, and only the stretches around a piece are matched with bounded errors by
-the ``regex`` library, which reports the edits and the span.
+over the whole text, and each piece's own window, as long as the notice and its edits, is matched
+with bounded errors by the ``regex`` library, which reports the edits and the span.  Pieces of one
+occurrence share a window, equal windows of a text are matched once, and of matches that overlap
+the one with fewest edits stays.
 
 Texts are compared as lower-case words joined by one space, so that layout and punctuation don't
 matter.  A phrase's exact places are those among its pieces' places where the whole phrase stands.
 
 Work is row by row in Arrow batches; nothing is shuffled.
 
-Edge cases: a null text is empty; an empty text has no words and no labels; repeated rows get
+Edge cases: a very long text is searched whole, in windows of bounded length; a null text is empty; an empty text has no words and no labels; repeated rows get
 equal results; occurrences of one phrase that overlap are all counted; an empty table gives an
 empty result; other columns are not read.
 """
@@ -96,28 +98,36 @@ class Scanner:
         ``text`` is in the normal form, with a space before and after.
         """
         exact: list[tuple[int, int]] = []
-        stretches: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[int]] = {}
         for end, piece in self.automaton.iter(text):
             for i, at in self.places[piece]:
                 notice = self.notices[i]
                 start = end + 1 - len(piece) - at
                 if at == 0 and notice.base and text.startswith(f" {notice.words} ", start - 1):
                     exact.append((i, start))
-                low = max(0, start - notice.edits - 1)
-                high = min(len(text), start + len(notice.words) + notice.edits + 1)
-                mine = stretches.setdefault(i, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(mine[-1][0], low), max(mine[-1][1], high)
-                else:
-                    mine.append([low, high])
-        found = [
-            (i, m.start(), m.end(), sum(m.fuzzy_counts))
-            for i, mine in stretches.items()
-            for low, high in mine
-            for m in self.patterns[i].finditer(text, low, high, overlapped=False)
-        ]
+                windows.setdefault(i, set()).add(start)
+        found = [(i, *m) for i, starts in windows.items() for m in self.matches(i, text, sorted(starts))]
         return exact, found
 
+    def matches(self, i: int, text: str, starts: list[int]) -> list[tuple[int, int, int]]:
+        """Matches (start, end, edits) of a notice in the windows where it would begin at ``starts``."""
+        notice, pattern = self.notices[i], self.patterns[i]
+        seen: dict[str, list[tuple[int, int, int]]] = {}
+        found = set()
+        for start in starts:
+            low = max(0, start - notice.edits - 1)
+            window = text[low : start + len(notice.words) + notice.edits + 1]
+            if window not in seen:
+                seen[window] = [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(window)]
+            found.update((low + a, low + b, e) for a, b, e in seen[window])
+        kept: list[tuple[int, int, int]] = []
+        for a, b, e in sorted(found):
+            if not kept or a >= kept[-1][1]:
+                kept.append((a, b, e))
+            elif e < kept[-1][2]:
+                kept[-1] = (a, b, e)
+        return kept
+
 
 @cache
 def scanner(notices: tuple[Notice, ...]) -> Scanner:

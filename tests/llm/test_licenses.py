@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from llm_fixtures import docs_of, rows_of, sample_texts  # noqa: F401
 
@@ -74,3 +75,18 @@ def test_spans_and_score():
     *_, labels, score, spans = licenses.scanned("Some words: Gnu Lesser Generel Public License, v3".encode())
     assert labels == "gpl,lgpl" and 0.9 < score < 1
     assert {"label": "lgpl", "first_word": 2, "last_word": 6, "edits": 1} in spans
+
+
+def test_very_long_text_of_pieces():
+    """A notice's beginning again and again, and the whole notice once in the end."""
+    text = "permission is hereby granted free of charge " * 20_000 + NOTICES[3].words.replace("person", "persons")
+    began = time.monotonic()
+    *_, labels, score, spans = licenses.scanned(text.encode())
+    assert time.monotonic() - began < 20
+    assert labels == "mit" and spans == [{"label": "mit", "first_word": 140_000, "last_word": 140_012, "edits": 1}]
+
+
+def test_neighbouring_matches_stay_apart():
+    text = "all rights reserved all right reserved all rights  reserved"
+    spans = licenses.scanned(text.encode())[-1]
+    assert [(x["first_word"], x["last_word"], x["edits"]) for x in spans] == [(0, 2, 0), (3, 5, 1), (6, 8, 0)]
