@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,37 @@ def test_distance_ranks_with_an_outlier(spark):
     want = np.corrcoef(*ranks)[0, 1]
     got = distance_rank_correlation(df, 300, 2, tile_rows=90)
     assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(want, abs=1e-5) and want < 0.99
+
+
+def test_labels_alone_take_no_pairs(spark, blobs, monkeypatch):
+    x, df, d = blobs
+    want = by_id(clustering.cluster(df, "x", "KMeans", 200, k=4)[0]).cluster
+
+    def pairs(*args, **kwargs):
+        raise AssertionError("pairs of rows")
+
+    monkeypatch.setattr(neighbors, "silhouettes", pairs)
+    got = by_id(clustering.labels_of(df, "x", "KMeans", 200, k=4)).cluster
+    assert (got == want).all()
+
+
+def test_replicate_tiles_work_in_strips(spark, monkeypatch):
+    """No array of a tile has both of its blocks in full."""
+    monkeypatch.setattr(qc, "SUB_ROWS", 5, raising=False)
+    tiles = []
+    monkeypatch.setattr(qc, "group_tiles", lambda df, group, tile, schema: tiles.append(tile) or df.sparkSession.createDataFrame([], schema))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(44, 8))
+    s = spectra_of(spark, x, np.arange(8.0), pd.DataFrame({"g": ["hot"] * 44}))
+    qc.replicate_consistency(s, F.col("g"))
+    u = x - x.mean(axis=1, keepdims=True)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    largest = []
+    real = np.triu_indices
+    monkeypatch.setattr(np, "triu_indices", lambda n, k=0: largest.append(n) or real(n, k))
+    for block, bj in ((np.zeros(44, dtype=int), 0), (np.arange(44) % 2, 1)):
+        table = pa.table({"block": block, "bi": [0] * 44, "bj": [bj] * 44, "replicate_group": ["hot"] * 44, "u": u.tolist()})
+        got = tiles[0](table).to_pylist()[0]
+        r = (u @ u.T)[real(44, 1)] if bj == 0 else (u[block == 0] @ u[block == 1].T).ravel()
+        assert got["pairs"] == r.size and got["total"] == pytest.approx(r.sum()) and got["lowest"] == pytest.approx(r.min())
+    assert max(largest) <= 5
