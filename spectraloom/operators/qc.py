@@ -14,7 +14,7 @@ from ..functions.arrow_matrix import to_matrix
 from ..spectra import ID, Y, Spectra
 from .quantiles import exact_quantiles
 from .recipe import median_fill
-from .tiles import assign_group_blocks, group_tiles
+from .tiles import SUB_ROWS, assign_group_blocks, group_tiles
 
 # QC thresholds.
 ROBUST_Z = 3.5
@@ -180,15 +180,25 @@ def replicate_consistency(spectra: Spectra, group: Column, fill: np.ndarray | No
         x = to_matrix(table.column("u"), width)
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         left, right = x[block == bi], x[block == bj]
-        r = left @ right.T
-        if bi == bj:
-            r = r[np.triu_indices(len(left), 1)]
+        pairs, total, lowest = 0, 0.0, np.inf
+        for at in range(0, len(left), SUB_ROWS):
+            part = left[at : at + SUB_ROWS]
+            # on the diagonal: the strip's own pairs once, then the rows after it
+            if bi == bj:
+                own = (part @ part.T)[np.triu_indices(len(part), 1)]
+                parts = (own, part @ left[at + SUB_ROWS :].T)
+            else:
+                parts = (part @ right.T,)
+            for r in parts:
+                pairs += r.size
+                total += float(r.sum())
+                lowest = min(lowest, float(r.min(initial=np.inf)))
         return pa.table(
             {
                 "replicate_group": [table.column("replicate_group")[0].as_py()],
-                "pairs": pa.array([r.size], pa.int64()),
-                "total": [float(r.sum())],
-                "lowest": [float(r.min()) if r.size else None],
+                "pairs": pa.array([pairs], pa.int64()),
+                "total": [total],
+                "lowest": [lowest if pairs else None],
             },
             schema=pa.schema(
                 [
