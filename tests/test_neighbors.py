@@ -235,3 +235,25 @@ def test_replicate_tiles_work_in_strips(spark, monkeypatch):
         r = (u @ u.T)[real(44, 1)] if bj == 0 else (u[block == 0] @ u[block == 1].T).ravel()
         assert got["pairs"] == r.size and got["total"] == pytest.approx(r.sum()) and got["lowest"] == pytest.approx(r.min())
     assert max(largest) <= 5
+
+
+@pytest.mark.parametrize("fold", [4, 1024])
+def test_ward_folds_copies_before_the_rounds(spark, monkeypatch, fold):
+    """Forty copies of a point took forty rounds, one pair each."""
+    from spectraloom.operators import ward as module
+
+    monkeypatch.setattr(module, "FOLD_ROWS", fold)
+    rounds, real = [], module.group_tiles
+    monkeypatch.setattr(module, "group_tiles", lambda *a: rounds.append(1) or real(*a))
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(9, 2)), [40, 1, 30, 2, 1, 17, 1, 1, 5], axis=0)
+    tree = ward(points_of(spark, x), "x", len(x), tail=12, tile_rows=64)
+    link = tree.linkage().orderBy("step").toPandas()
+    n = len(x)
+    assert not rounds and len(link) == n - 1 and np.allclose(link.height, brute_ward(x), atol=1e-12)
+    assert sorted([*link.left, *link.right]) == list(range(2 * n - 2)) and (link.right < n + link.step).all()
+    assert link["size"].iloc[-1] == n
+    parts = np.array(tree.labels([2, 9, 20]).toPandas().sort_values("sample_index").labels.tolist())
+    assert [len(set(parts[:, i])) for i in range(3)] == [2, 9, 20]
+    group = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    assert len({(a, b) for a, b in zip(group, parts[:, 1])}) == 9
