@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from .pca import (
 )
 from .ranks import cut_index, hash_cuts
 from .recipe import Step
-from .tiles import TILE_ROWS, Tile, assign_blocks, group_tiles, squared
+from .tiles import PAIR_ROWS, STRIP_ROWS, Tile, assign_blocks, group_tiles, squared
 
 # Stability thresholds.
 DISTANCE_STABLE = 0.70
@@ -66,7 +66,7 @@ def planes_of(spectra: Spectra, models: Sequence[PcaModel]) -> DataFrame:
     return raw.select("id", affine(F.col("xy"), literal(stats["m"]), literal(scale)).alias("xy"))
 
 
-def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows: int = TILE_ROWS) -> list[float]:
+def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows: int = PAIR_ROWS) -> list[float]:
     """Spearman correlation of pairwise distances in each plane with those of plane 0.
 
     ``planes`` is ``(id, xy ARRAY<DOUBLE>[2 * width])``, the planes side by side.  Distances are
@@ -77,23 +77,32 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
     """
     blocked = assign_blocks(planes, "id", n, tile_rows)
 
-    def pair_distances(t: Tile, w: int) -> np.ndarray:
-        d = np.sqrt(squared(t.x[t.left, 2 * w : 2 * w + 2], t.x[t.right, 2 * w : 2 * w + 2]))
-        return d[np.triu_indices(len(t.left), 1)] if t.same else d.ravel()
+    def pair_distances(t: Tile, w: int) -> Iterator[np.ndarray]:
+        """Every distance of a tile once, in strips that stay in a core's cache."""
+        x = t.x[:, 2 * w : 2 * w + 2]
+        left, right = x[t.left], x[t.right]
+        for at in range(0, len(left), STRIP_ROWS):
+            part = left[at : at + STRIP_ROWS]
+            d = np.sqrt(squared(part, right[at:] if t.same else right))
+            yield d[np.arange(d.shape[1])[None, :] > np.arange(len(part))[:, None]] if t.same else d.ravel()
 
     steps = 1 << DISTANCE_BITS
 
-    def leading(t: Tile, w: int) -> tuple[np.ndarray, np.ndarray]:
+    def leading(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first bits of every distance, and all of them; both in the order of the distances."""
-        bits = pair_distances(t, w).view(np.uint64)
+        bits = d.view(np.uint64)
         return (bits >> np.uint64(64 - DISTANCE_BITS)).astype(np.int64), bits
 
-    def counted(bins) -> np.ndarray:
+    def counted(bins, most: int) -> np.ndarray:
         def count(table: pa.Table) -> pa.Table:
             t = Tile(table, "xy")
             ws, bs, cs = [], [], []
             for w in range(width):
-                used, c = np.unique(bins(t, w), return_counts=True)
+                total = np.zeros(most, dtype=np.int64)
+                for d in pair_distances(t, w):
+                    total += np.bincount(bins(d, w), minlength=most)
+                used = np.flatnonzero(total)
+                c = total[used]
                 ws.append(np.full(len(used), w))
                 bs.append(used)
                 cs.append(c)
@@ -109,7 +118,7 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
         return parts.toPandas().to_numpy(dtype=np.int64)  # at most width x 196,608 rows
 
     coarse = np.zeros((width, steps))
-    for w, b, c in counted(lambda t, w: leading(t, w)[0]):
+    for w, b, c in counted(lambda d, w: leading(d)[0], steps):
         coarse[w, b] = c
     share = coarse / np.maximum(coarse.sum(axis=1, keepdims=True), 1) * steps
     further = np.where(share > 1, np.ceil(np.log2(np.maximum(share, 1))), 0).astype(np.uint64)
@@ -117,14 +126,15 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
     first = np.cumsum(sizes, axis=1) - sizes
     table = planes.sparkSession.sparkContext.broadcast((further, first))  # width x 65,536 numbers, twice
 
-    def bins(t: Tile, w: int) -> np.ndarray:
-        head, bits = leading(t, w)
+    def bins(d: np.ndarray, w: int) -> np.ndarray:
+        head, bits = leading(d)
         more, start = table.value[0][w][head], table.value[1][w][head]
         rest = (bits << np.uint64(DISTANCE_BITS)) >> np.uint64(1) >> (np.uint64(63) - more)
         return start + np.where(more > 0, rest, 0).astype(np.int64)
 
-    counts = np.zeros((width, int(sizes.sum(axis=1).max())))
-    for w, b, c in counted(bins):
+    finest = int(sizes.sum(axis=1).max())
+    counts = np.zeros((width, finest))
+    for w, b, c in counted(bins, finest):
         counts[w, b] = c
     rank = np.cumsum(counts, axis=1) - counts + (counts + 1) / 2.0
     pairs = counts.sum(axis=1)
@@ -134,13 +144,11 @@ def distance_rank_correlation(planes: DataFrame, n: int, width: int, tile_rows:
 
     def product(table: pa.Table) -> pa.Table:
         t, ranks = Tile(table, "xy"), lookup.value
-        base = ranks[0][bins(t, 0)]
-        return pa.table(
-            {
-                "w": pa.array(np.arange(width), pa.int32()),
-                "s": pa.array([float((base * ranks[w][bins(t, w)]).sum()) for w in range(width)]),
-            }
-        )
+        sums = np.zeros(width)
+        for planes_ in zip(*[pair_distances(t, w) for w in range(width)]):
+            of = [ranks[w][bins(d, w)] for w, d in enumerate(planes_)]
+            sums += [float(of[0] @ r) for r in of]
+        return pa.table({"w": pa.array(np.arange(width), pa.int32()), "s": pa.array(sums)})
 
     sums = group_tiles(blocked, [], product, "w int, s double").groupBy("w").agg(F.sum("s").alias("s")).collect()
     by_plane = {r["w"]: r["s"] for r in sums}

@@ -257,3 +257,27 @@ def test_ward_folds_copies_before_the_rounds(spark, monkeypatch, fold):
     assert [len(set(parts[:, i])) for i in range(3)] == [2, 9, 20]
     group = np.unique(x, axis=0, return_inverse=True)[1].ravel()
     assert len({(a, b) for a, b in zip(group, parts[:, 1])}) == 9
+
+
+def test_distance_ranks_take_strips(spark, monkeypatch):
+    """A tile's distances are counted in strips, not sorted whole."""
+    from spectraloom.operators import stability
+
+    largest, real = [], stability.squared
+    monkeypatch.setattr(stability, "squared", lambda a, b: largest.append(len(a) * len(b)) or real(a, b))
+    monkeypatch.setattr(stability, "STRIP_ROWS", 8, raising=False)
+    tiles = []
+
+    def here(df, group, tile, schema):
+        tiles.append(tile)
+        t = pa.Table.from_pandas(df.toPandas()).append_column("bi", pa.array([0] * 90)).append_column("bj", pa.array([0] * 90))
+        return df.sparkSession.createDataFrame(tile(t).to_pandas(), schema)
+
+    monkeypatch.setattr(stability, "group_tiles", here)
+    x = np.random.default_rng(5).normal(size=(90, 4))
+    df = spark.createDataFrame([(i, [*map(float, p)]) for i, p in enumerate(x)], "id bigint, xy array<double>")
+    got = stability.distance_rank_correlation(df, 90, 2, tile_rows=90)
+    i, j = np.triu_indices(90, 1)
+    ranks = [pd.Series(np.hypot(*(m[i] - m[j]).T)).rank() for m in (x[:, :2], x[:, 2:])]
+    assert got[1] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-5)
+    assert len(tiles) == 3 and max(largest) <= 8 * 90
