@@ -44,3 +44,14 @@ def test_sums_per_label_in_both_directions(monkeypatch, many):
     for at in (0, 25):
         side.add_rows(into, d[:, at : at + 25].T, at)
     assert np.allclose(side.totals(d), want) and np.allclose(into, want)
+
+
+def test_no_more_than_k_copies_of_a_point_take_part(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 2)), rng.integers(1, 9, 60), axis=0)
+    x = np.concatenate([x, np.tile([[0.5, 0.5]], (200, 1))])
+    real, seen = neighbors._kth_of_rows, []
+    monkeypatch.setattr(neighbors, "_kth_of_rows", lambda rows, k, n, *rest: seen.append(n) or real(rows, k, n, *rest))
+    got = by_id(neighbors.kth_distance(points_of(spark, x), "x", 5, len(x), tile_rows=50)).kth_distance.to_numpy()
+    assert np.array_equal(got, np.sort(np.sqrt(tiles.squared(x, x)), axis=1)[:, 4])
+    assert seen == [np.minimum(np.unique(x, axis=0, return_counts=True)[1], 5).sum()]
