@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by_id, points_of, spectra_of
-from spectraloom.operators import clustering, kmeans, metrics, neighbors, qc
+from spectraloom.operators import clustering, kmeans, label_sums, metrics, neighbors, qc
 from spectraloom.operators.ward import ward
 
 
@@ -281,3 +281,30 @@ def test_distance_ranks_take_strips(spark, monkeypatch):
     ranks = [pd.Series(np.hypot(*(m[i] - m[j]).T)).rank() for m in (x[:, :2], x[:, 2:])]
     assert got[1] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-5)
     assert len(tiles) == 3 and max(largest) <= 8 * 90
+
+
+def test_joint_labels_return_one_packed_row_a_tile(spark):
+    """A row's sums leave a tile once, not once per labeling and label."""
+    rng = np.random.default_rng(5)
+    x, codes = rng.normal(size=(300, 3)), rng.integers(0, 4, size=(300, 6))
+    codes[:, 5] = np.where(np.arange(300) % 4 == 0, -1, codes[:, 5])
+    rows = points_of(spark, x).withColumnsRenamed({"sample_index": "id"})
+    given = spark.createDataFrame([(i, [None if c < 0 else str(c) for c in r]) for i, r in enumerate(codes.tolist())], "id bigint, labels array<string>")
+    joined = rows.join(given, "id")
+    kinds = label_sums.labels_in(joined, 6)
+    coded = joined.select("id", kinds.codes("labels").alias("codes"), "x")
+    parts = label_sums.tile_sums(coded, kinds, {None: list(range(6))}, 300, 100)
+    counts = parts.groupBy("id").count().select("count").distinct().collect()
+    assert [r["count"] for r in counts] == [3]
+    got = label_sums.widths(parts, kinds).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for w in (0, 5):
+        keep = codes[:, w] >= 0
+        mine = got[got.labeling == w].sort_values("id").silhouette.to_numpy()
+        assert np.allclose(mine, brute_silhouette(d[np.ix_(keep, keep)], codes[keep, w]))
+
+
+def test_rows_that_ask_link_over_residents():
+    links = np.array([[1, 1, 0, 0], [0, 1, 0, 0], [0, 0, 0, 1], [0, 0, 0, 0]], dtype=bool)
+    asked, home = neighbors._linked(links)
+    assert list(asked) == [0, 0, 3, -1] and list(home) == [0, 0, 2, 3]
