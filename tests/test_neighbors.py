@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -5,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import by_id, points_of, spectra_of
+from spectraloom import session
 from spectraloom.operators import clustering, kmeans, label_sums, metrics, neighbors, qc
 from spectraloom.operators.ward import ward
 
@@ -150,6 +153,32 @@ def test_benchmark_recovers_separated_groups(spark):
         clustering.embedding(None, "UMAP")
 
 
+def test_methods_run_side_by_side(spark, monkeypatch):
+    """Loops of short jobs don't wait for each other: each of the three only goes on once all have begun."""
+    met = threading.Barrier(3)
+
+    def meeting(kept):
+        def run(*args, **given):
+            met.wait(60)
+            return kept(*args, **given)
+
+        return run
+
+    monkeypatch.setattr(clustering.kmeans, "fit", meeting(kmeans.fit))
+    monkeypatch.setattr(clustering, "ward", meeting(clustering.ward))
+    monkeypatch.setattr(clustering.neighbors, "kth_distance", meeting(neighbors.kth_distance))
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, (8, 2)) for c in ((0, 0), (6, 0), (0, 6))])
+    assert clustering.analyze(points_of(spark, x), "x", 24, max_k=3, restarts=3).best_params["k"] == 3
+
+
+def test_side_by_side_keeps_order_and_errors(spark):
+    tasks = [lambda n=n: spark.range(n).count() for n in (5, 1, 3, 2, 4)]
+    assert session.side_by_side(spark, tasks) == [5, 1, 3, 2, 4]
+    with pytest.raises(ZeroDivisionError):
+        session.side_by_side(spark, [lambda: 1, lambda: 1 // 0])
+
+
 def test_adjusted_rand_values(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 2)], "a int, b int")
     assert metrics.ari_value(df, "a", "a") == 1.0
